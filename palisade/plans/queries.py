@@ -1,0 +1,4 @@
+"""Guard queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
