@@ -1,0 +1,11 @@
+"""Queries of the document operators."""
+
+from __future__ import annotations
+
+from . import scratch
+
+
+def op2_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_join
+
+    return jaccard_join(scratch.table(spark, sf_dir, "documents"))
