@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import labels as lab
+from . import labels as lab, scratch
 from .words import IS_WORD, LOWER, Words, chunks, hash_spans, runs, text_buffer, words
 
 #: Most labelled rows used, folds and the held-out one.
@@ -80,25 +80,36 @@ class Lexicon:
     odds: list[np.ndarray]
 
 
-def learn_lexicon(w: Words, kinds: list[np.ndarray], label: np.ndarray, rows: np.ndarray) -> Lexicon:
-    """Terms whose share of toxic documents exceeds that of the others by the least log odds."""
+def term_counts(w: Words, kinds: list[np.ndarray], label: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(kind, term, n0, t0, n1, t1): documents of each half with a term, others and toxic ones."""
     row = np.repeat(np.arange(len(label)), np.diff(w.lo))
-    use = rows[row]
-    pos, neg = int((label[rows] == 1).sum()), int((label[rows] == 0).sum())
-    table, odds = [], []
-    for h in kinds:
-        keep = use & (h != 0)
-        # once for each document
+    out = []
+    for kind, h in enumerate(kinds):
+        keep = h != 0
         order = np.lexsort((row[keep], h[keep]))
         hh, rr = h[keep][order], row[keep][order]
         new = np.append(True, (hh[1:] != hh[:-1]) | (rr[1:] != rr[:-1])) if len(hh) else np.zeros(0, bool)
         value, slot = np.unique(hh[new], return_inverse=True)
-        t = np.bincount(slot, weights=label[rr[new]] == 1, minlength=len(value))
-        n = np.bincount(slot, minlength=len(value)) - t
-        o = np.log((t + 0.5) / (pos + 1)) - np.log((n + 0.5) / (neg + 1))
-        good = (t >= SUPPORT) & (o >= ODDS)
-        table.append(value[good])
-        odds.append(o[good])
+        cell = np.bincount(slot * 4 + half[rr[new]] * 2 + label[rr[new]], minlength=len(value) * 4).reshape(-1, 4)
+        out.append((np.full(len(value), kind), value.astype(np.int64), cell))
+    cell = np.concatenate([x[2] for x in out])
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), *cell.T
+
+
+def _odds(t, n, pos, neg):
+    return np.log((t + 0.5) / (pos + 1)) - np.log((n + 0.5) / (neg + 1))
+
+
+def lexicon(kind, term, t, n, pos: int, neg: int) -> Lexicon:
+    """The terms whose support and log odds are high enough."""
+    term, o = term.astype(np.uint64), _odds(t, n, pos, neg)
+    good = (t >= SUPPORT) & (o >= ODDS)
+    table, odds = [], []
+    for k in range(1 + len(BEGINNINGS)):
+        own = np.flatnonzero(good & (kind == k))
+        own = own[np.argsort(term[own])]
+        table.append(term[own])
+        odds.append(o[own])
     return Lexicon(table, odds)
 
 
@@ -106,7 +117,7 @@ _INSULT, _SECOND = _hashes(INSULTS), _hashes(SECOND_PERSON)
 N_FEATURES = 19
 
 
-def features(w: Words, lexicon: Lexicon, kinds: list[np.ndarray] | None = None) -> np.ndarray:
+def features(w: Words, learned: Lexicon, kinds: list[np.ndarray] | None = None) -> np.ndarray:
     """The dense features of every row."""
     n = len(w.lo) - 1
     kinds = terms(w) if kinds is None else kinds
@@ -118,7 +129,7 @@ def features(w: Words, lexicon: Lexicon, kinds: list[np.ndarray] | None = None)
     insult = _member(w.hashes, _INSULT) >= 0
     hits = insult.copy()
     out += [total(insult) / per, np.log1p(total(insult))]
-    for h, table, odds in zip(kinds, lexicon.table, lexicon.odds):
+    for h, table, odds in zip(kinds, learned.table, learned.odds):
         slot = _member(h, table)
         hit = slot >= 0
         hits |= hit
@@ -248,33 +259,55 @@ class Model:
         return np.clip(np.interp(raw, self.at, self.value) * (1 - 2e-6) + 1e-6 + 1e-6 * np.tanh(raw / 8), 0, 1)
 
 
-def train(texts: pa.Array, label: np.ndarray) -> Model:
-    """A model from whole labelled texts."""
-    label = np.asarray(label, np.int64)
-    share = float(label.mean()) if len(label) else 0.0
-    w = words(texts)
-    kinds = terms(w) if len(label) else []
-    rows = np.ones(len(label), bool)
-    if min((label == 1).sum(), (label == 0).sum()) < 4:
-        return Model(Lexicon([], []), None, np.zeros(1), np.zeros(1), share)
-    half = np.arange(len(label)) % 2 == 0
-    x = np.empty((len(label), N_FEATURES))
-    for part in (half, ~half):
-        x[part] = features(w, learn_lexicon(w, kinds, label, ~part), kinds)[part]
-    third = np.arange(len(label)) // 2 % 3
-    out = np.empty(len(label))
-    for k in range(3):
-        out[third == k] = boost(x[third != k], label[third != k].astype(float)).raw(x[third == k])
-    at, value = isotonic(out, label)
-    return Model(learn_lexicon(w, kinds, label, rows), boost(x, label.astype(float)), at, value, share)
-
-
 def fit(docs: DataFrame, label_rows: DataFrame, bound: int = BOUND) -> Model:
-    """Train on the driver from a bounded sample of labelled rows outside the held-out fold."""
+    """Train from a bounded sample of labelled rows outside the held-out fold.
+
+    Terms are counted and features made on the executors; the driver gets the terms that may enter
+    a lexicon and one row of features for each sampled document.
+    """
+    spark = docs.sparkSession
     rows = lab.sampled_docs(docs, lab.sample(label_rows, "toxic", PARTS, HELD, bound), bound)
-    got = rows.orderBy("doc_id").toArrow().combine_chunks()
-    column = lambda i: got.column(i).combine_chunks()
-    return train(column(1), column(2).to_numpy(zero_copy_only=False))
+    rows = rows.select("text", (F.col("label") == 1).cast("int").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), F.xxhash64("doc_id", F.lit(3)).alias("key"))
+    rows = scratch.keep(rows, "labelled")
+    size = np.zeros((2, 2), np.int64)
+    for r in rows.groupBy("half", "label").count().collect():
+        size[r["half"], r["label"]] = r["count"]
+    total, toxic = int(size.sum()), int(size[:, 1].sum())
+    if size.min() < 2:
+        return Model(Lexicon([], []), None, np.zeros(1), np.zeros(1), toxic / total if total else 0.0)
+
+    def count(batches):
+        for b in chunks(batches):
+            w = words(b.column(0))
+            found = term_counts(w, terms(w), *(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in found], names=["kind", "term", "n0", "t0", "n1", "t1"])
+
+    counts = rows.mapInArrow(count, "kind long, term long, n0 long, t0 long, n1 long, t1 long").groupBy("kind", "term").agg(*(F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")))
+
+    def may(t, n, pos, neg):
+        return (F.expr(t) >= SUPPORT) & (F.log((F.expr(t) + 0.5) / (int(pos) + 1)) - F.log((F.expr(n) + 0.5) / (int(neg) + 1)) >= ODDS - 1e-6)
+
+    counts = counts.where(may("t0", "n0", *size[0][::-1]) | may("t1", "n1", *size[1][::-1]) | may("t0 + t1", "n0 + n1", toxic, total - toxic))
+    got = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 6)
+    kind, term, n0, t0, n1, t1 = got.T
+    halves = [lexicon(kind, term, t0, n0, size[0, 1], size[0, 0]), lexicon(kind, term, t1, n1, size[1, 1], size[1, 0])]
+    shared = spark.sparkContext.broadcast(halves)
+
+    def describe(batches):
+        for b in chunks(batches):
+            w, half = words(b.column(0)), b.column(2).to_numpy(zero_copy_only=False)
+            kinds = terms(w)
+            x = np.where((half == 0)[:, None], features(w, shared.value[1], kinds), features(w, shared.value[0], kinds))
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "label", "x"])
+
+    sample = sorted(tuple(r) for r in rows.mapInArrow(describe, "key long, label int, x binary").collect())
+    x, y = np.array([np.frombuffer(r[2]) for r in sample]), np.array([r[1] for r in sample])
+    third = np.arange(len(y)) % 3
+    out = np.empty(len(y))
+    for k in range(3):
+        out[third == k] = boost(x[third != k], y[third != k].astype(float)).raw(x[third == k])
+    at, value = isotonic(out, y)
+    return Model(lexicon(kind, term, t0 + t1, n0 + n1, toxic, total - toxic), boost(x, y.astype(float)), at, value, toxic / total)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
