@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of text handled at a time by :func:`chunks`.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
