@@ -22,6 +22,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -211,8 +212,6 @@ MEDIA = "codec string, handler string, duration double, n_samples long, keyframe
 
 def media_features(df: DataFrame, column: str = "media", into: str = "media_features") -> DataFrame:
     """df with a struct column of the features of a binary column of stored media."""
-    import pandas as pd
-
     @F.pandas_udf(MEDIA)
     def read(media: pd.Series) -> pd.DataFrame:
         rows = [describe(m) or {} for m in media]
