@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
@@ -25,7 +26,7 @@ def has_hidden(text: Column) -> Column:
     return text.rlike(L.HIDDEN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(text: pd.Series) -> pd.Series:
     return text.map(L.normalize, na_action="ignore")
 
@@ -38,9 +39,12 @@ def with_view(df: DataFrame, column: str, into: str, squeeze: bool = True) -> Da
     """
     bare, odd, rest = f"_{into}_bare", f"_{into}_odd", f"_{into}_rest"
     df = df.withColumn(bare, strip_invisible(F.col(column)))
-    df = df.withColumn(odd, F.when(F.col(bare).rlike("[^\\x00-\\x7F" + "".join(L.SIMPLE) + "]"), F.col(column)))
+    # what is left without ASCII and the simple signs; a character class of them would be slow
+    strange = F.translate(bare, "".join(L.SIMPLE), "").rlike(r"[^\x00-\x7F]")
+    df = df.withColumn(odd, F.when(F.col(bare).rlike(r"[^\x00-\x7F]"), F.when(strange, F.col(column))))
     df = df.withColumn(rest, _fold(F.col(odd)))
-    view = F.coalesce(F.col(rest), F.translate(bare, "".join(L.SIMPLE), "".join(L.SIMPLE.values())))
+    simple = F.when(F.col(bare).rlike(r"[^\x00-\x7F]"), F.translate(bare, "".join(L.SIMPLE), "".join(L.SIMPLE.values()))).otherwise(F.col(bare))
+    view = F.coalesce(F.col(rest), simple)
     return df.withColumn(into, collapse(view) if squeeze else view).drop(bare, odd, rest)
 
 
@@ -55,7 +59,7 @@ def normalize_native(text: Column) -> Column:
     return collapse(F.translate(strip_invisible(text), "".join(L.SIMPLE), "".join(L.SIMPLE.values())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
