@@ -24,8 +24,10 @@ it reaches ``SHARD_IDS``.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from .words import chunks
 END_ID, BLOCK_IDS, SHARD_IDS = 2, 1024, 1 << 20
 #: Shares of a block's ids that may fit the width; the smallest block wins.
 PERCENTILES = (0.80, 0.90, 0.95, 0.98, 1.0)
-#: Pieces that a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Runs that a worker remembers before it starts anew.
+MEMORY = 1_000_000
 _SCHEMA = "part int, before long, n_docs int, n_ids long, data binary"
 _NO_ID = -(1 << 63)
 
@@ -137,12 +139,27 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
 # ---------------------------------------------------------------- tokens
 
 
-class Encoder:
-    """The library's ids, remembered by piece.
+#: The tokenizer splits texts at blanks, and wherever letters meet other signs.  Of plain Latin
+#: signs no one joins its neighbour in normal forms, and without apostrophes there are no
+#: contractions; what holds other signs is cut at blanks only.
+_ODD = re.compile(r"[^\t\n\r -&(-~À-ÖØ-öø-ÿ]|<\|")
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ \t\n\r]+")
+
+
+def _runs(text: str) -> list[str]:
+    if not _ODD.search(text):
+        return _RUNS.findall(text.lower())
+    out = []
+    for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+        if _ODD.search(p):
+            out.append(p)
+        else:
+            out += _RUNS.findall(p.lower())
+    return out
 
-    The tokenizer never joins text across blanks, so each piece between blanks is encoded by the
-    library once and remembered; the ids of a text are those of its pieces in order.
-    """
+
+class Encoder:
+    """The library's ids, remembered by run of signs; those of a text are its runs' in order."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -151,30 +168,34 @@ class Encoder:
         self._reset()
 
     def _reset(self):
-        self.slot = {"": 0}
-        self.n, self.flat, self.count = 1, np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _add(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids = e.ids
-            while self.count + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.first):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.flat[self.count : self.count + len(ids)] = ids
-            self.first[self.n], self.size[self.n], self.slot[piece] = self.count, len(ids), self.n
-            self.count += len(ids)
-            self.n += 1
+        self.slot, self.count = {}, 0
+        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+    def _add(self, new: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, end = len(self.slot), self.count + np.cumsum(size)
+        self.flat = self._room(self.flat, int(end[-1]))
+        self.flat[self.count : end[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(end[-1]) - self.count)
+        self.first, self.size = self._room(self.first, n + len(new)), self._room(self.size, n + len(new))
+        self.first[n : n + len(new)], self.size[n : n + len(new)] = end - size, size
+        self.slot.update(zip(new, range(n, n + len(new))))
+        self.count = int(end[-1])
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if self.n > MEMORY:
+        runs = _runs(text)
+        if len(self.slot) > MEMORY:
             self._reset()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.slot]
+        new = list(set(runs).difference(self.slot))
         if new:
             self._add(new)
-        slot = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        if not runs:
+            return np.zeros(0, np.uint32)
+        slot = np.fromiter(map(self.slot.__getitem__, runs), np.int64, len(runs))
         size = self.size[slot]
         end = np.cumsum(size)
         return self.flat[np.repeat(self.first[slot] - end + size, size) + np.arange(end[-1])]
