@@ -58,6 +58,8 @@ def pack(x: np.ndarray, width: int) -> bytes:
     """Values of ``width`` bits, lowest bit first."""
     if width == 0:
         return b""
+    if width in (8, 16, 32):  # the same bytes
+        return x.astype(f"<u{width // 8}").tobytes()
     bits = (x[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
 
@@ -65,6 +67,13 @@ def pack(x: np.ndarray, width: int) -> bytes:
 def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     if width == 0:
         return np.zeros(n, np.uint32)
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", n).astype(np.uint32)
+    if width <= 25:  # a value lies within four bytes
+        b = np.frombuffer(data + b"\0\0\0\0", np.uint8)
+        four = b[:-3].astype(np.uint32) | b[1:-2].astype(np.uint32) << np.uint32(8) | b[2:-1].astype(np.uint32) << np.uint32(16) | b[3:].astype(np.uint32) << np.uint32(24)
+        at = np.arange(n) * width
+        return four[at >> 3] >> (at & 7).astype(np.uint32) & np.uint32((1 << width) - 1)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
