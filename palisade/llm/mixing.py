@@ -83,8 +83,9 @@ def leaf_budgets(leaves: DataFrame, ratio: float = RATIO, max_epochs: int = MAX_
     # what a leaf can use; below a weight of 0 nothing can be used
     cap = F.when((_weight("domain", domain_weights) > 0) & (_weight("lang", lang_weights) > 0) & (_weight("source", source_weights) > 0), F.col("tokens") * max_epochs).otherwise(F.lit(0)).cast("long")
     leaves = leaves.withColumn("cap", cap)
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(ratio)).cast("long").alias("budget"))
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(total)).withColumn("root", F.lit(0))
+    # the root's budget is a window over domains, which are few
+    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("root", F.lit(0))
+    domains = domains.withColumn("budget", F.floor(F.sum("tokens").over(Window.partitionBy("root")) * F.lit(ratio)).cast("long")).drop("tokens")
     domains = _deal(domains, ["root"], "domain", domain_weights).drop("root")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain")
     langs = _deal(langs, ["domain"], "lang", lang_weights)
