@@ -386,6 +386,46 @@ def q_by_kind(spark, d):
     return metrics.by_kind(guard.decide(w), w.select("request_id", "kind"))
 
 
+# ---- counters of decisions by policy alone ----------------------------------------------------------
+
+
+def policed(spark, d) -> DataFrame:
+    """Decisions of events by the access policy alone, with planted errors and leaks."""
+    df = policy.with_policy(calls(spark, d), Config())
+    hard, n = F.col("policy") == "hard", F.col("event_id")
+    verdict = F.when(hard, "block").when(F.col("policy") == "soft", "quarantine").otherwise("allow")
+    tried, leaked = hard & (n % 3 == 0), hard & (n % 6 == 0)
+    return df.select(
+        "event_id", "tool", verdict.alias("verdict"), (~hard).alias("executed"), hard.alias("would_block"), F.when(n % 50 == 0, "malformed").alias("error"),
+        tried.alias("exfiltration_attempt"), (tried & ~leaked).alias("exfiltration_blocked"), leaked.alias("exfiltrated"),
+    )
+
+
+POLICED = f"""SELECT event_id, tool, CASE policy WHEN 'hard' THEN 'block' WHEN 'soft' THEN 'quarantine' ELSE 'allow' END AS verdict, policy <> 'hard' AS executed, policy = 'hard' AS would_block,
+  CASE WHEN event_id % 50 = 0 THEN 'malformed' END AS error, policy = 'hard' AND event_id % 3 = 0 AS tried, policy = 'hard' AND event_id % 6 = 0 AS leaked FROM ({POLICY}) p"""
+_KEYED = {
+    "'requests'": "error IS NULL", "'verdict.' || verdict": "error IS NULL", "'would_block'": "error IS NULL AND would_block", "'tool_calls'": "error IS NULL AND tool IS NOT NULL",
+    "CASE WHEN executed THEN 'tool_executed' ELSE 'tool_denied' END": "error IS NULL AND tool IS NOT NULL", "'exfil_attempts'": "tried", "'exfil_success'": "tried AND leaked", "'errors'": "error IS NOT NULL",
+}
+COUNTED = f"SELECT key, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT {k} AS key FROM ({POLICED}) q WHERE {w}' for k, w in _KEYED.items())}) k GROUP BY key"
+_n = lambda k: f"CAST(coalesce(sum(n) FILTER (key = '{k}'), 0) AS BIGINT)"
+
+
+@_add(COUNTED)
+def q_policy_counters(spark, d):
+    return metrics.counters(policed(spark, d))
+
+
+@_add(f"SELECT {_n('exfil_success')} = 0 AS ok, {_n('requests')} AS requests, round(coalesce({_n('errors')} / nullif({_n('requests')} + {_n('errors')}, 0), 0), 9) AS error_rate, {_n('verdict.block')} AS blocks, {_n('exfil_attempts')} AS exfil_attempts, {_n('exfil_success')} AS exfil_success FROM ({COUNTED}) c")
+def q_health(spark, d):
+    return metrics.health(metrics.counters(policed(spark, d))).withColumn("error_rate", F.round("error_rate", 9))
+
+
+@_add(f"SELECT CAST(coalesce(sum(CAST(tried AS INT)), 0) AS BIGINT) AS exfiltration_attempt, CAST(coalesce(sum(CAST(tried AND NOT leaked AS INT)), 0) AS BIGINT) AS exfiltration_blocked, CAST(coalesce(sum(CAST(leaked AS INT)), 0) AS BIGINT) AS exfiltrated FROM ({POLICED}) q")
+def q_exfiltration(spark, d):
+    return metrics.exfiltration(policed(spark, d))
+
+
 # ---- metrics ------------------------------------------------------------------------------------------
 
 
