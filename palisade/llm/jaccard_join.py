@@ -14,7 +14,7 @@ Method.
    is shortened from the full depth until the expected recall of a pair at the threshold,
    ``1 - (1 - s**depth)**trees``, reaches the target (:func:`forest_depth`).
 3. Trie nodes of one representative, and nodes whose members all met in an earlier tree, need no
-   work.  Large nodes are split into pairs of bounded blocks.
+   work.  Nodes are counted in salted parts; large ones are split into pairs of bounded blocks.
 4. Within a block all pairs are verified exactly on the full sets with a matrix product; a pair is
    counted only in the first tree where it meets.  Only counts per row and a spanning forest of
    the links leave the task, never the pairs.
@@ -40,6 +40,8 @@ from .words import chunks, mix, shingles, words
 SHINGLE, THRESHOLD, TREES, LEVELS, RECALL = 5, 0.8, 12, 6, 0.9995
 #: Most members of a block that is compared at once.
 BLOCK = 1024
+#: Parts of a trie node when its members are counted.
+SALTS = 32
 #: Most representatives that are broadcast (8 bytes each) when their sets are made.
 BROADCAST_IDS = 500_000
 
@@ -214,18 +216,24 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD
     def node(t):
         return F.expr(f"substring(path, {t * levels * 4 + 1}, {depth * 4})")
 
-    member = reps.select("rep", "weight", F.posexplode(F.array(*(node(t) for t in range(trees)))).alias("tree", "node"))
-    full = member.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1")
-    met = member.join(full, ["tree", "node"]).select("tree", "node", "members", "rep", "weight")
+    # a node may hold a great part of all rows: it is counted and joined in salted parts
+    part = F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("salt")
+    member = reps.select("rep", "weight", part, F.posexplode(F.array(*(node(t) for t in range(trees)))).alias("tree", "node"))
+    parts = member.groupBy("tree", "node", "salt").agg(F.count("*").alias("n"))
+    full = parts.groupBy("tree", "node").agg(F.sum("n").alias("members")).where("members > 1")
+    full = parts.drop("n").join(full, ["tree", "node"])
+    met = member.join(full, ["tree", "node", "salt"]).select("tree", "node", "salt", "members", "rep", "weight")
     met = met.join(reps.select("rep", *(F.xxhash64(node(t)).alias(f"k{t}") for t in range(trees - 1))), "rep")
     # all met in an earlier tree: nothing is left to compare
-    same = [(F.col("tree") > t) & (F.min(f"k{t}") == F.max(f"k{t}")) for t in range(trees - 1)]
+    same = [(F.col("tree") > t) & (F.min(f"lo{t}") == F.max(f"hi{t}")) for t in range(trees - 1)]
     again = same[0]
     for x in same[1:]:
         again = again | x
     met = scratch.keep(met, "members")
-    need = met.groupBy("tree", "node").agg(again.alias("again")).where("not again")
-    need = scratch.keep(met.join(need, ["tree", "node"]).select("tree", "node", "members", "rep", "weight"), "needed")
+    parts = met.groupBy("tree", "node", "salt").agg(*(f(f"k{t}").alias(f"{x}{t}") for t in range(trees - 1) for x, f in (("lo", F.min), ("hi", F.max))))
+    need = parts.groupBy("tree", "node").agg(again.alias("again")).where("not again").drop("again")
+    need = parts.select("tree", "node", "salt").join(need, ["tree", "node"])
+    need = scratch.keep(met.join(need, ["tree", "node", "salt"]).select("tree", "node", "members", "rep", "weight"), "needed")
 
     ids = need.select("rep").distinct()
     held = reps.join(ids, "rep", "left_semi").select("rep", "path")
