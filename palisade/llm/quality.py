@@ -1,16 +1,23 @@
 """Quality classifier: random-indexing vectors, a small network, calibrated (operator 8).
 
-Contract.  ``index(docs)`` makes the word vectors from every document; ``fit(docs, labels, vectors)``
-trains on at most ``bound`` labelled rows outside the held-out fold; ``score(docs, model)`` returns
-``doc_id``, ``held_out``, ``score`` (0 to 1, higher: better) and ``predicted`` for every row.
+Contract.  ``features(docs)`` pools every document with the vectors of its own tokens, made from
+every document; ``fit_features(features, labels)`` trains on at most ``bound`` labelled rows outside
+the held-out fold; ``score_features(features, model)`` returns ``doc_id``, ``held_out``, ``score``
+(0 to 1, higher: better) and ``predicted`` for every row.
 
 Method.  A token is a run of word characters (lower-cased, with its pattern of capitals) or a run
-of punctuation marks.  Its hash gives a sparse index vector of +1 and -1; the vector of a bucket of
-tokens is the sum of the index vectors found within two places of its tokens in the whole corpus.
-Each partition sends one table of fixed size, so the traffic does not depend on the texts.  A
-document pools the unit vectors of its tokens, weighted down by corpus frequency: mean, length of
-the mean, share of distinct tokens, and size.  A two-layer numpy network reads the pooled vector; a
-temperature fitted on validation rows calibrates its probabilities.
+of punctuation marks.  Its hash gives a sparse index vector of +1 and -1; the vector of a token is
+the sum of the index vectors found within two places of it in the whole corpus, and each distinct
+token (by its 64-bit hash) has a vector and a count of its own.  Groups of documents of bounded size
+send the sums and counts of their distinct tokens, cut into ranges of the hash; a range adds up what
+all groups sent and answers each with the totals of the tokens it sent, so no task holds the whole
+vocabulary.  A document pools the unit vectors of its tokens, weighted down by corpus frequency:
+mean, length of the mean, share of distinct tokens, and size.  A two-layer numpy network reads the
+pooled vector; a temperature fitted on validation rows calibrates its probabilities.
+
+``index``, ``fit`` and ``score`` are the form for texts outside the indexed table: their vectors fit
+on the driver because tokens are folded into ``BUCKETS`` buckets, which distinct tokens share.  The
+query does not use it.
 
 Edge cases: null and empty texts pool to a zero vector and are scored; with no labelled rows, or
 one class only, the score is the share of good rows (0.5 if none); repeated rows get equal scores;
@@ -25,9 +32,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import labels as lab
+from . import labels as lab, scratch
 from .words import IS_WORD, LOWER, chunks, hash_spans, mix, runs, text_buffer
 
 #: Most labelled rows used, folds and the held-out one.
@@ -35,6 +43,8 @@ BOUND, PARTS, HELD = 8000, 3, 1
 #: Buckets of tokens, dimensions, nonzero entries of an index vector, places to each side.
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 48, 4, 2
 _GROUPS = 64
+#: Bytes of text of a group of documents, ranges of token hashes.
+GROUP, RANGES = 1 << 24, 256
 
 
 @dataclass
@@ -97,9 +107,15 @@ class Vectors:
 
 def vectors(table: np.ndarray) -> Vectors:
     context, count = table[:, :DIM].astype(float), table[:, DIM].astype(float)
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    share = count / max(count.sum(), 1)
-    return Vectors((context / np.maximum(norm, 1e-9)).astype(np.float32), (1e-3 / (1e-3 + share)).astype(np.float32))
+    return Vectors(_unit(context), _weight(count, count.sum()))
+
+
+def _unit(context: np.ndarray) -> np.ndarray:
+    return (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def _weight(count: np.ndarray, n: int) -> np.ndarray:
+    return (1e-3 / (1e-3 + count / max(n, 1))).astype(np.float32)
 
 
 def index(docs: DataFrame) -> Vectors:
@@ -139,19 +155,180 @@ def pooled(t: Tokens, v: Vectors) -> np.ndarray:
         if len(own):
             count = np.bincount(own, minlength=BUCKETS) if len(own) > BUCKETS else None
             kinds, times = (np.flatnonzero(count), count[count > 0]) if count is not None else np.unique(own, return_counts=True)
-            w = v.weight[kinds] * times
-            mean = (w @ v.unit[kinds]) / w.sum()
-            plain = (times @ v.unit[kinds]) / times.sum()
-            out[i, :DIM] = mean
-            out[i, DIM:] = np.linalg.norm(mean), np.linalg.norm(plain), len(kinds) / len(own), np.log1p(len(own)), times.max() / len(own)
+            out[i] = _pool(v.unit[kinds], v.weight[kinds], times)
     return out
 
 
+def _pool(unit: np.ndarray, weight: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The features of a text from its distinct tokens and how often each occurs."""
+    w, n = weight * times, times.sum()
+    mean, plain = (w @ unit) / w.sum(), (times @ unit) / n
+    return np.append(mean, (np.linalg.norm(mean), np.linalg.norm(plain), len(times) / n, np.log1p(n), times.max() / n))
+
+
+# ---- a vector for each distinct token ---------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their bytes of one place together, which packs better."""
+    return np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _pack(context: np.ndarray, count: np.ndarray) -> bytes:
+    """Context sums and counts of tokens; sums of one byte are stored as such."""
+    small = np.abs(context).max(axis=1, initial=0) < 128
+    wide = context[~small].astype(np.int64)
+    head = np.array([len(count), len(wide)], np.int64).tobytes()
+    return zlib.compress(b"".join((head, _planes(count.astype(np.int64)), small.tobytes(), context[small].astype(np.int8).tobytes(), _planes(wide))), 1)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    n, n_wide = np.frombuffer(raw, np.int64, 2)
+    at = 16 + 8 * n
+    count, small = _from_planes(raw[16:at], np.int64, n), np.frombuffer(raw, bool, n, at)
+    context, at = np.zeros((n, DIM), np.int64), at + n
+    context[small] = np.frombuffer(raw, np.int8, (n - n_wide) * DIM, at).reshape(-1, DIM)
+    context[~small] = _from_planes(raw[at + (n - n_wide) * DIM :], np.int64, n_wide * DIM).reshape(-1, DIM)
+    return context, count
+
+
+def token_sums(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens in order, the context sums and count of each, and every token's number."""
+    kinds, local = np.unique(t.hashes, return_inverse=True)
+    row = np.repeat(np.arange(len(t.lo) - 1, dtype=np.int32), np.diff(t.lo))
+    context = np.zeros((len(kinds), DIM), np.int32)
+    flat = context.reshape(-1)
+    pairs = [(local[d:][both], local[:-d][both]) for d in range(1, REACH + 1) if len(row) > d for both in [row[d:] == row[:-d]]]
+    for j in range(NONZERO):
+        x = mix(kinds + np.uint64(j + 1))
+        place = ((x >> np.uint64(32)) % np.uint64(DIM)).astype(np.int64)
+        sign = 1 - 2 * (x & np.uint64(1)).astype(np.int32)
+        for a, b in pairs:
+            np.add.at(flat, a * DIM + place[b], sign[b])
+            np.add.at(flat, b * DIM + place[a], sign[a])
+    return kinds, context, np.bincount(local, minlength=len(kinds)), local
+
+
+_ROW = "group long, kind int, place int, n long, ids binary, data binary"
+
+
+def _row_batch(*rows):
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROW.split(", ")])
+
+
+def _group_rows(group: int, docs: list[tuple[pa.Array, Tokens]]):
+    """Of one group: a row for each range of hashes (kind 0), and its documents' bags of tokens (kind 1)."""
+    shift = np.append(0, np.cumsum([len(t.hashes) for _, t in docs]))
+    lo = np.concatenate([t.lo[:-1] + s for (_, t), s in zip(docs, shift)] + [shift[-1:]])
+    kinds, context, count, local = token_sums(Tokens(np.concatenate([t.hashes for _, t in docs]), lo))
+    step = np.uint64((1 << 64) // RANGES)
+    cut = np.concatenate([[0], np.searchsorted(kinds, np.arange(1, RANGES, dtype=np.uint64) * step), [len(kinds)]])
+    # every range hears of every group, so that each knows the number of all tokens
+    for i in range(RANGES):
+        a, b = cut[i], cut[i + 1]
+        yield _row_batch((group, 0, i, int(shift[-1]), zlib.compress(_planes(kinds[a:b]), 1), _pack(context[a:b], count[a:b])))
+    for k, (ids, t) in enumerate(docs):
+        own = local[shift[k] : shift[k + 1]]
+        n = len(t.lo) - 1
+        key, times = np.unique(np.repeat(np.arange(n), np.diff(t.lo)) * max(len(kinds), 1) + own, return_counts=True)
+        row, number = np.divmod(key, max(len(kinds), 1))
+        known = np.array([x is not None for x in ids.to_pylist()])
+        head = zlib.compress(known.tobytes() + _planes(ids.fill_null(0).to_numpy(zero_copy_only=False)) + _planes(np.bincount(row, minlength=n)), 1)
+        yield _row_batch((group, 1, RANGES + k, n, head, zlib.compress(_planes(number.astype(np.uint32)) + _planes(times.astype(np.uint32)), 1)))
+
+
+def _by_group(batches):
+    """Documents (doc_id, text) to rows of groups."""
+    first, docs, size, made = TaskContext.get().partitionId() << 32, [], 0, 0
+    for b in chunks(batches):
+        docs.append((b.column(0), tokens(b.column(1))))
+        size += b.column(1).nbytes
+        if size >= GROUP:
+            yield from _group_rows(first + made, docs)
+            docs, size, made = [], 0, made + 1
+    if docs:
+        yield from _group_rows(first + made, docs)
+
+
+def _add_up(batches):
+    """Rows sorted by place: each group's sums of a range become the totals; bags pass."""
+
+    def answers(place, rows):
+        hashes = [_from_planes(x := zlib.decompress(ids), np.uint64, len(x) // 8) for _, _, ids, _ in rows]
+        kinds = np.unique(np.concatenate(hashes))
+        context, count, n = np.zeros((len(kinds), DIM), np.int64), np.zeros(len(kinds), np.int64), sum(r[1] for r in rows)
+        for h, r in zip(hashes, rows):
+            at, (c, k) = np.searchsorted(kinds, h), _unpack(r[3])
+            context[at] += c
+            count[at] += k
+        for h, r in zip(hashes, rows):
+            at = np.searchsorted(kinds, h)
+            yield _row_batch((r[0], 0, place, n, None, _pack(context[at], count[at])))
+
+    now, rows = None, []
+    for b in batches:
+        for i in range(b.num_rows):
+            group, kind, place, n, ids, data = (b.column(c)[i].as_py() for c in range(6))
+            if rows and (kind or place != now):
+                yield from answers(now, rows)
+                rows = []
+            if kind:
+                yield b.slice(i, 1)
+            else:
+                now = place
+                rows.append((group, n, ids, data))
+    if rows:
+        yield from answers(now, rows)
+
+
+def _pool_groups(batches):
+    """Rows sorted by group, kind and place: the totals of a group's tokens, then its bags."""
+    now, parts, unit, weight = None, [], None, None
+    for b in batches:
+        for i in range(b.num_rows):
+            group, kind, _, n, ids, data = (b.column(c)[i].as_py() for c in range(6))
+            if group != now:
+                now, parts, unit, weight = group, [], None, None
+            if not kind:
+                context, count = _unpack(data)
+                parts.append((_unit(context), _weight(count, n)))
+                continue
+            if unit is None:
+                unit, weight = (np.concatenate(x) for x in zip(*parts))
+                parts = []
+            head, raw = zlib.decompress(ids), zlib.decompress(data)
+            known, doc, many = np.frombuffer(head, bool, n), _from_planes(head[n:], np.int64, n), _from_planes(head[9 * n :], np.int64, n)
+            m = len(raw) // 8
+            number, times = _from_planes(raw, np.uint32, m), _from_planes(raw[4 * m :], np.uint32, m).astype(np.int64)
+            x, end = np.zeros((n, DIM + 5), np.float32), np.cumsum(many)
+            for k in np.flatnonzero(many):
+                own = slice(end[k] - many[k], end[k])
+                x[k] = _pool(unit[number[own]], weight[number[own]], times[own])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=~known), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id and the pooled features (float32 bytes) of every row, with a vector for each distinct token."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = texts.mapInArrow(_by_group, _ROW)
+    # a bag waits wherever it falls; a range of hashes needs one place
+    where = F.when(F.col("kind") == 0, F.col("place").cast("long")).otherwise(F.xxhash64("group", "place"))
+    totals = sent.withColumn("at", where).repartition("at").sortWithinPartitions("kind", "place").drop("at").mapInArrow(_add_up, _ROW)
+    return totals.repartition("group").sortWithinPartitions("group", "kind", "place").mapInArrow(_pool_groups, "doc_id long, x binary")
+
+
 @dataclass
 class Network:
     """Two layers, standardisation, temperature; share is used when there was nothing to learn."""
 
-    vectors: Vectors
+    vectors: Vectors | None
     mean: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -159,7 +336,10 @@ class Network:
     share: float
 
     def score(self, t: Tokens) -> np.ndarray:
-        x = pooled(t, self.vectors)
+        return self.of(pooled(t, self.vectors))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The scores of pooled features."""
         if not self.layers:
             return np.full(len(x), self.share)
         return 1 / (1 + np.exp(-np.clip(_logit((x - self.mean) / self.scale, self.layers) / self.temperature, -30, 30)))
@@ -170,7 +350,7 @@ def _logit(x, layers):
     return np.maximum(x @ a + b, 0) @ c + d[0]
 
 
-def train(x: np.ndarray, y: np.ndarray, v: Vectors, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Network:
+def train(x: np.ndarray, y: np.ndarray, v: Vectors | None, hidden: int = 32, epochs: int = 60, seed: int = 7) -> Network:
     """Adam on the logistic loss; the temperature is fitted on every seventh row."""
     y = np.asarray(y, float)
     if min((y == 1).sum(), (y == 0).sum()) < 4:
@@ -215,8 +395,37 @@ def fit(docs: DataFrame, label_rows: DataFrame, v: Vectors, bound: int = BOUND)
     return train(x, np.array([r.label for r in got]), v)
 
 
-def score(docs: DataFrame, model: Network) -> DataFrame:
+def fit_features(feats: DataFrame, label_rows: DataFrame, bound: int = BOUND) -> Network:
+    """Train on the driver on the features of the sampled rows; one row serves for an id with several."""
+    rows = lab.sample(label_rows, "quality", PARTS, HELD, bound)
+    got = feats.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.max("x").alias("x")).select("doc_id", "label", "x")
+    got = sorted(got.limit(bound).collect())
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), DIM + 5)
+    return train(x, np.array([r.label for r in got]), None)
+
+
+def score_features(feats: DataFrame, model: Network) -> DataFrame:
     """See the module's docstring."""
+    shared = feats.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, DIM + 5)
+            s = np.asarray(shared.value.of(x), float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    df = feats.select("doc_id", "x", F.coalesce(lab.fold("doc_id", PARTS) == HELD, F.lit(False)).alias("held_out"))
+    return df.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def quality(docs: DataFrame, label_rows: DataFrame) -> DataFrame:
+    """Every row of docs, scored with vectors made from docs and a network trained on their labels."""
+    feats = scratch.keep(features(docs), "features")
+    return score_features(feats, fit_features(feats, label_rows))
+
+
+def score(docs: DataFrame, model: Network) -> DataFrame:
+    """Texts scored with the folded vectors of ``index``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

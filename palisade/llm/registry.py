@@ -43,8 +43,7 @@ def op7_toxicity(spark, sf_dir):
 
 
 def op8_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), quality.index(docs)))
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_mixing(spark, sf_dir):

@@ -257,6 +257,45 @@ def test_quality_index_counts_everything(spark):
     assert np.allclose(got.unit, quality.vectors(table).unit) and np.allclose(got.weight, quality.vectors(table).weight)
 
 
+def test_quality_has_a_vector_for_each_token(spark, empty):
+    """The features equal a brute force over a dictionary of tokens, with far more tokens than buckets."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 30_000, 3000)) for _ in range(12)] + [None, "", "One, two!", "One, two!"]
+    context, count, bags = {}, {}, []
+    for t in texts:
+        h = quality.tokens(pa.array([t], pa.string())).hashes
+        bags.append(h)
+        for i, x in enumerate(h.tolist()):
+            count[x] = count.get(x, 0) + 1
+            v = context.setdefault(x, np.zeros(quality.DIM))
+            for k in range(max(0, i - quality.REACH), min(len(h), i + quality.REACH + 1)):
+                for j in range(quality.NONZERO if k != i else 0):
+                    m = int(quality.mix(h[k : k + 1] + np.uint64(j + 1))[0])
+                    v[(m >> 32) % quality.DIM] += 1 - 2 * (m & 1)
+    assert len(count) > 2 * quality.BUCKETS
+    df = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.features(df).collect()}
+    assert len(got) == len(texts)
+    total = sum(count.values())
+    for i, h in enumerate(bags):
+        kinds, times = np.unique(h, return_counts=True)
+        x = np.zeros(quality.DIM + 5)
+        if len(h):
+            unit = np.array([context[k] / max(np.linalg.norm(context[k]), 1e-9) for k in kinds.tolist()])
+            w = np.array([1e-3 / (1e-3 + count[k] / total) for k in kinds.tolist()]) * times
+            mean, plain = w @ unit / w.sum(), times @ unit / times.sum()
+            x = np.append(mean, (np.linalg.norm(mean), np.linalg.norm(plain), len(kinds) / len(h), np.log1p(len(h)), times.max() / len(h)))
+        assert np.allclose(got[None if i == 3 else i], x, atol=1e-4)
+    marks = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.quality(empty, marks).count() == 0 and quality.quality(df, marks).count() == len(texts)
+
+
+def test_quality_query_folds_no_tokens(spark, monkeypatch):
+    """The query does not use the vectors that tokens share."""
+    monkeypatch.setattr(quality, "index", None)
+    assert registry.op8_quality(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_mixing(spark, docs, empty):
     import duckdb
 
