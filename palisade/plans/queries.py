@@ -177,7 +177,8 @@ RULED = f"SELECT doc_id, content, v, 1 - CAST({_KEEP} AS DOUBLE) AS rule FROM ({
 
 @_add(f"SELECT doc_id, round(rule, 6) AS rule_score FROM ({RULED}) u")
 def q_rule_score(spark, d):
-    df = R.with_rules(viewed(spark, d), "content", "v", "hits", exfil=False)
+    """Every rule.  The SQL cannot express exfil_instruction, so it agrees only where no such clause is."""
+    df = R.with_rules(viewed(spark, d), "content", "v", "hits")
     return df.select("doc_id", F.round(R.rule_score(F.col("hits")), 6).alias("rule_score"))
 
 
@@ -192,7 +193,8 @@ _FUSED = "CASE WHEN rule >= 0.3 AND rule < 0.85 THEN least(1.0, rule + 0.05) ELS
 
 @_add(f"SELECT doc_id, round(s, 6) AS score, s >= 0.3 AS is_injection, CASE WHEN s >= 0.8 THEN 'block' WHEN s >= 0.3 THEN 'sanitize' ELSE 'allow' END AS verdict FROM (SELECT doc_id, {_FUSED} AS s FROM ({RULED}) u) w")
 def q_fused_verdict(spark, d):
-    df = R.with_rules(viewed(spark, d), "content", "v", "hits", exfil=False).withColumn("rule", R.rule_score(F.col("hits")))
+    """Every rule, and 0 for the learned score; of the SQL the same holds as for q_rule_score."""
+    df = R.with_rules(viewed(spark, d), "content", "v", "hits").withColumn("rule", R.rule_score(F.col("hits")))
     s = F.col("s")
     df = df.withColumn("s", R.fuse(F.lit(0.0), F.col("rule"), F.lit(True), ~F.col("content").rlike(r"(?U)\S")))
     return df.select("doc_id", F.round(s, 6).alias("score"), (s >= 0.3).alias("is_injection"), F.when(s >= 0.8, "block").when(s >= 0.3, "sanitize").otherwise("allow").alias("verdict"))
