@@ -55,6 +55,10 @@ consent gdpr notice notices banner popup modal overlay newsletter subscribe sign
 recommended pagination pager toolbar skip hidden""".split()
 )
 SCOPE = frozenset(("article", "main"))
+#: Words that make the rest of a class a state of a wrapper (has-sidebar, no-sidebar), not its content.
+STATES = frozenset("has no not with without is hide hides show shows".split())
+#: How an element holds boilerplate: by class or id, which a nested article overrides, or by element, role or hiding.
+SOFT, HARD = 1, 2
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -83,29 +87,46 @@ class _State:
     breaks: int = 0
 
 
-def _marked(name: str, attrs: str, in_scope: bool) -> bool:
-    """Whether an element holds boilerplate by its name or attributes."""
+def _named(value: str) -> bool:
+    """Whether one of the names of a class or id value names boilerplate."""
+    for name in value.split():
+        parts = _SPLIT.split(name)
+        if not BOILER_WORDS.isdisjoint(parts) and STATES.isdisjoint(parts[:-1]):
+            return True
+    return False
+
+
+def _marked(name: str, attrs: str, in_scope: bool) -> int:
+    """SOFT or HARD if an element holds boilerplate by its name or attributes, else 0."""
     if name in BOILER or name == "header" and not in_scope:
-        return True
+        return HARD
     if not attrs or name in ("html", "body") or name in SCOPE:
-        return False
+        return 0
+    found = 0
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return HARD
         if key == "role" and value in BOILER_ROLES:
-            return True
-        if key in ("class", "id") and not BOILER_WORDS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return HARD
+        if key in ("class", "id") and _named(value):
+            found = SOFT
+    return found
+
+
+def _opens(name: str, attrs: str, level: int, scope: int) -> bool:
+    """Whether an article or main element ends the mark that a wrapper's class set."""
+    if name not in SCOPE or level != SOFT or scope:
+        return False
+    return not any(k.lower() in ("class", "id") and _named(v.strip("\"'").lower()) for k, v in _ATTR.findall(attrs or ""))
 
 
 def _flush(s: _State) -> None:
     if s.parts:
         text = " ".join("".join(s.parts).split())
         if text:
-            top = s.stack[-1] if s.stack else ("", False, 0)
-            s.blocks.append(Block(text, s.link, top[1], top[2]))
+            top = s.stack[-1] if s.stack else ("", 0, 0)
+            s.blocks.append(Block(text, s.link, top[1] > 0, top[2]))
     s.parts, s.link, s.breaks = [], 0, 0
 
 
@@ -174,7 +195,7 @@ def blocks(page: str) -> list[Block]:
             continue
         marks = not close and bool(attrs) and name not in VOID
         if name in BLOCK or marks or close and any(e[0] == name for e in s.stack[-1:]):
-            top = s.stack[-1] if s.stack else ("", False, 0)
+            top = s.stack[-1] if s.stack else ("", 0, 0)
             boiler = marks and _marked(name, attrs, top[2] > 0) or not close and _marked(name, "", top[2] > 0)
             if name not in BLOCK and not boiler and not (close and top[0] == name):
                 continue  # an inline element with harmless attributes
@@ -190,15 +211,17 @@ def blocks(page: str) -> list[Block]:
             else:
                 if top[0] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                     s.stack.pop()
-                    top = s.stack[-1] if s.stack else ("", False, 0)
+                    top = s.stack[-1] if s.stack else ("", 0, 0)
                 elif top[0] == "p" and name in BLOCK:
                     s.stack.pop()
-                    top = s.stack[-1] if s.stack else ("", False, 0)
-                scope = top[2]
+                    top = s.stack[-1] if s.stack else ("", 0, 0)
+                scope, level = top[2], max(top[1], boiler)
+                if _opens(name, attrs, level, scope):
+                    level = 0
                 if name in SCOPE:
                     scopes += 1
                     scope = scopes
-                s.stack.append((name, top[1] or boiler, scope))
+                s.stack.append((name, level, scope))
     _flush(s)
     return s.blocks
 

@@ -180,6 +180,18 @@ def brute_tiles(doc, item, k):
         out += n
 
 
+def test_html_wrappers_with_boilerplate_words():
+    """A wrapper's state, or its class, does not take the article along; marked elements still go."""
+    one = "It was the first of the days that he had been in the city, and this is what they said to him of it."
+    for page in (
+        f'<div class="site has-sidebar"><p>{one}</p></div>', f'<div class="content no-sidebar"><article><p>{one}</p></article></div>',
+        f'<div class="layout-sidebar"><p>{one} Aside.</p><main class="page"><p>{one}</p></main></div>',
+    ):
+        assert html_text.main_text(page) == one, page
+    for page in (f'<div class="site-footer"><p>{one}</p></div>', f'<div id="comments"><article class="comment-body"><p>{one}</p></article></div>', f'<aside><article><p>{one}</p></article></aside>', f'<div class="ad" hidden><main><p>{one}</p></main></div>'):
+        assert html_text.main_text(page) == "", page
+
+
 def test_decontamination(spark, docs, empty):
     rng = np.random.default_rng(3)
     items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 30, 24))) for i in range(6)] + [(90, None), (91, ""), (92, "too short")]
