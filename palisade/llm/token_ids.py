@@ -10,7 +10,7 @@ Parquet table, so that Spark's committer makes files whole and any store it know
 ``before`` counts the ids of the part that stand before the shard.  The value itself needs
 nothing else and can be written out as a file.  All numbers are
 little-endian.  Header: ``PFOR``, version (u32), documents (u32), blocks (u32), ids (u64).  Then the
-document table (doc_id i64, ids u32, each; an id of None is -2**63), the block index (start of each
+document table (doc_id i64, ids u32, and 1 byte that is 0 for a null id, each), the block index (start of each
 block as u64 from the first block), then the blocks.  A block holds 1024 ids, the last one fewer:
 minimum (u32), count (u16), width (u8), exceptions (u16), then the ids less the minimum packed at
 ``width`` bits, lowest bit first, then the places (u16) and high bits (u32) of the exceptions.  The
@@ -24,7 +24,6 @@ it reaches ``SHARD_IDS``.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from itertools import chain
@@ -34,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch
-from .words import chunks
+from .words import LOWER, chunks, hash_spans, runs, text_buffer
 
 #: The id appended to each document, ids of a block, ids after which a shard ends.
 END_ID, BLOCK_IDS, SHARD_IDS = 2, 1024, 1 << 20
 #: Shares of a block's ids that may fit the width; the smallest block wins.
 PERCENTILES = (0.80, 0.90, 0.95, 0.98, 1.0)
-#: Runs that a worker remembers before it starts anew.
-MEMORY = 1_000_000
+#: Runs, and bytes of runs, that a worker remembers before it starts anew; bits of the table's size.
+MEMORY, MEMORY_BYTES, _TABLE = 1_000_000, 1 << 26, 22
+#: Bytes of one text that are encoded at a time, to the next blank.
+PART = 1 << 21
 _SCHEMA = "part int, before long, n_docs int, n_ids long, data binary"
-_NO_ID = -(1 << 63)
+_DOC = np.dtype([("doc", "<i8"), ("n", "<u4"), ("known", "u1")])
 
 
 # ---------------------------------------------------------------- blocks
@@ -112,10 +113,10 @@ def decode_block(data, at: int = 0) -> np.ndarray:
 def encode_shard(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a shard."""
     blocks = [encode_block(ids[i : i + BLOCK_IDS]) for i in range(0, len(ids), BLOCK_IDS)]
-    table = np.zeros(len(doc_ids), np.dtype([("doc", "<i8"), ("n", "<u4")]))
-    table["doc"], table["n"] = [_NO_ID if d is None else d for d in doc_ids], counts
+    table = np.zeros(len(doc_ids), _DOC)
+    table["doc"], table["n"], table["known"] = [d or 0 for d in doc_ids], counts, [d is not None for d in doc_ids]
     index = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u8")
-    return b"".join([b"PFOR", struct.pack("<IIIQ", 1, len(doc_ids), len(blocks), len(ids)), table.tobytes(), index.tobytes(), *blocks])
+    return b"".join([b"PFOR", struct.pack("<IIIQ", 2, len(doc_ids), len(blocks), len(ids)), table.tobytes(), index.tobytes(), *blocks])
 
 
 def decode_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -123,13 +124,13 @@ def decode_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     if data[:4] != b"PFOR":
         raise ValueError("not a shard of token ids")
     _, n_docs, n_blocks, n_ids = struct.unpack_from("<IIIQ", data, 4)
-    table = np.frombuffer(data, np.dtype([("doc", "<i8"), ("n", "<u4")]), n_docs, 24)
-    index = np.frombuffer(data, "<u8", n_blocks, 24 + 12 * n_docs)
-    base = 24 + 12 * n_docs + 8 * n_blocks
+    table = np.frombuffer(data, _DOC, n_docs, 24)
+    index = np.frombuffer(data, "<u8", n_blocks, 24 + _DOC.itemsize * n_docs)
+    base = 24 + _DOC.itemsize * n_docs + 8 * n_blocks
     ids = np.concatenate([np.zeros(0, np.uint32), *(decode_block(data, base + int(i)) for i in index)])
     if len(ids) != n_ids:
         raise ValueError("a shard of token ids is damaged")
-    return [None if d == _NO_ID else d for d in table["doc"].tolist()], table["n"].astype(np.int64), ids
+    return [d if k else None for d, k in zip(table["doc"].tolist(), table["known"])], table["n"].astype(np.int64), ids
 
 
 def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
@@ -138,8 +139,8 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
     start, stop = max(0, start), min(stop, n_ids)
     if start >= stop:
         return np.zeros(0, np.uint32)
-    index = np.frombuffer(data, "<u8", n_blocks, 24 + 12 * n_docs)
-    base = 24 + 12 * n_docs + 8 * n_blocks
+    index = np.frombuffer(data, "<u8", n_blocks, 24 + _DOC.itemsize * n_docs)
+    base = 24 + _DOC.itemsize * n_docs + 8 * n_blocks
     first = start // BLOCK_IDS
     got = np.concatenate([decode_block(data, base + int(i)) for i in index[first : (stop - 1) // BLOCK_IDS + 1]])
     return got[start - first * BLOCK_IDS : stop - first * BLOCK_IDS]
@@ -150,64 +151,151 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
 
 #: The tokenizer splits texts at blanks, and wherever letters meet other signs.  Of plain Latin
 #: signs no one joins its neighbour in normal forms, and without apostrophes there are no
-#: contractions; what holds other signs is cut at blanks only.
-_ODD = re.compile(r"[^\t\n\r -&(-~À-ÖØ-öø-ÿ]|<\|")
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ \t\n\r]+")
-
-
-def _runs(text: str) -> list[str]:
-    if not _ODD.search(text):
-        return _RUNS.findall(text.lower())
-    out = []
-    for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-        if _ODD.search(p):
-            out.append(p)
-        else:
-            out += _RUNS.findall(p.lower())
-    return out
+#: contractions; a piece between blanks that holds anything else is left whole.
+_BLANK, _PLAIN, _LETTER = (np.zeros(256, bool) for _ in range(3))
+_BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
+_PLAIN[0x20:0x7F] = True
+_PLAIN[[0x09, 0x0A, 0x0D]] = True
+_PLAIN[0x27] = False
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+_LOW_LATIN = np.arange(256, dtype=np.uint8)  # second bytes of U+00C0 to U+00FF
+_LOW_LATIN[0x80:0x9F] += 32
+_LOW_LATIN[0x97] -= 32
+
+
+def _runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of texts, and the bytes with plain Latin pieces lower-cased."""
+    full = ~_BLANK[raw]
+    starts, ends = runs(full, offsets)
+    latin = np.zeros(len(raw) + 1, bool)  # second bytes of plain Latin letters
+    latin[1:-1] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    odd = ~(_PLAIN[raw] | latin[:-1] | latin[1:])
+    odd[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+    count = np.append(0, np.cumsum(odd, dtype=np.int32))
+    whole = count[ends] > count[starts]
+    first, last = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+    first[starts] = last[ends] = True
+    letter = _LETTER[raw]
+    cut = np.flatnonzero((letter[1:] != letter[:-1]) & full[1:] & full[:-1]) + 1
+    cut = cut[~first[cut]]
+    if whole.any():
+        cut = cut[~whole[np.searchsorted(starts, cut, "right") - 1]]
+    first[cut] = last[cut] = True
+    data = LOWER[raw]
+    at = np.flatnonzero(latin[:-1])
+    data[at] = _LOW_LATIN[data[at]]
+    for s, e in zip(starts[whole], ends[whole]):
+        data[s:e] = raw[s:e]
+    return np.flatnonzero(first), np.flatnonzero(last), data
 
 
 class Encoder:
-    """The library's ids, remembered by run of signs; those of a text are its runs' in order."""
+    """The library's ids, remembered by run of signs; those of a text are its runs' in order.
+
+    Runs are found by a hash in an open table; their bytes are compared, so that a collision of
+    hashes changes nothing.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.slot = Tokenizer.from_file(file), {}
+        self.tokenizer = Tokenizer.from_file(file)
         self._reset()
 
     def _reset(self):
-        self.slot, self.count = {}, 0
-        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.table, self.known, self.count, self.n_bytes = np.full(1 << _TABLE, -1, np.int32), 0, 0, 0
+        self.hash, self.first, self.size, self.at = np.zeros(1 << 14, np.uint64), *(np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.flat, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8)
 
     @staticmethod
     def _room(x: np.ndarray, n: int) -> np.ndarray:
         return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
 
-    def _add(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, end = len(self.slot), self.count + np.cumsum(size)
-        self.flat = self._room(self.flat, int(end[-1]))
-        self.flat[self.count : end[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(end[-1]) - self.count)
-        self.first, self.size = self._room(self.first, n + len(new)), self._room(self.size, n + len(new))
-        self.first[n : n + len(new)], self.size[n : n + len(new)] = end - size, size
-        self.slot.update(zip(new, range(n, n + len(new))))
-        self.count = int(end[-1])
-
-    def encode(self, text: str) -> np.ndarray:
-        runs = _runs(text)
-        if len(self.slot) > MEMORY:
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        slot = (h >> np.uint64(64 - _TABLE)).astype(np.int64)
+        out = self.table[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.hash[out] != h))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (1 << _TABLE) - 1
+            out[open_] = self.table[slot[open_]]
+            open_ = open_[(out[open_] >= 0) & (self.hash[out[open_]] != h[open_])]
+        return out
+
+    def _add(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Remember runs whose hashes are new and differ."""
+        ids, size = self._library([data[s:e].tobytes().decode() for s, e in zip(starts.tolist(), ends.tolist())])
+        n, m = self.known, self.known + len(h)
+        self.hash, self.first, self.size, self.at = (self._room(x, m) for x in (self.hash, self.first, self.size, self.at))
+        self.flat, self.bytes = self._room(self.flat, self.count + len(ids)), self._room(self.bytes, self.n_bytes + int((ends - starts).sum()))
+        self.flat[self.count : self.count + len(ids)] = ids
+        self.hash[n:m], self.size[n:m] = h, size
+        self.first[n:m] = self.count + np.cumsum(size) - size
+        length = ends - starts
+        self.at[n:m] = self.n_bytes + np.cumsum(length) - length
+        total = int(length.sum())
+        self.bytes[self.n_bytes : self.n_bytes + total] = data[np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(total)]
+        self.known, self.count, self.n_bytes = m, self.count + len(ids), self.n_bytes + total
+        number, slot = np.arange(n, m, dtype=np.int32), (h >> np.uint64(64 - _TABLE)).astype(np.int64)
+        while len(number):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = number[free]
+            left = self.table[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (1 << _TABLE) - 1
+
+    def _segment(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, data = _runs(raw, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        if self.known > MEMORY or self.n_bytes > MEMORY_BYTES:
             self._reset()
-        new = list(set(runs).difference(self.slot))
-        if new:
-            self._add(new)
-        if not runs:
-            return np.zeros(0, np.uint32)
-        slot = np.fromiter(map(self.slot.__getitem__, runs), np.int64, len(runs))
-        size = self.size[slot]
+        h, length = hash_spans(data, starts, ends), ends - starts
+        number = self._find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            self._add(h[one], data, starts[one], ends[one])
+            number[new] = self._find(h[new])
+        size = self.size[number]
         end = np.cumsum(size)
-        return self.flat[np.repeat(self.first[slot] - end + size, size) + np.arange(end[-1])]
+        lo = np.cumsum(length) - length
+        place = np.repeat(self.at[number] - lo, length) + np.arange(int(length.sum()))
+        if place[-1] < len(self.bytes) and np.array_equal(self.bytes[np.minimum(place, len(self.bytes) - 1)], data[_cover(starts, ends, len(data))]):
+            ids = self.flat[np.repeat(self.first[number] - end + size, size) + np.arange(end[-1])]
+        else:  # two runs of one hash
+            ids, size = self._library([data[s:e].tobytes().decode() for s, e in zip(starts.tolist(), ends.tolist())])
+            end = np.cumsum(size)
+        upto = np.append(0, end)[np.searchsorted(starts, offsets, "left")]
+        return ids, np.diff(upto)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, and how many each has; a very long text goes in parts."""
+        raw, offsets = text_buffer(column)
+        if len(raw) <= PART or len(offsets) > 2:
+            return self._segment(raw, offsets)
+        blank = np.flatnonzero(_BLANK[raw])
+        out, at = [], 0
+        while at < len(raw):
+            i = int(np.searchsorted(blank, at + PART))
+            to = int(blank[i]) + 1 if i < len(blank) else len(raw)
+            out.append(self._segment(raw[at:to], np.array([0, to - at]))[0])
+            at = to
+        return np.concatenate(out), np.array([sum(map(len, out))], np.int64)
+
+
+def _cover(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes lie in a run."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] = 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -230,28 +318,35 @@ def shards(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, partition
         from pyspark import TaskContext
 
         encoder, part, before = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0
-        names, ids, total = [], [], 0
+        names, counts, ids, total = [], [], [], 0
 
         def out():
-            counts = np.array([len(x) for x in ids], np.int64)
-            row = [[part], [before], [len(names)], [total], [encode_shard(names, counts, np.concatenate(ids))]]
+            data = encode_shard(names, np.concatenate(counts), np.concatenate(ids))
+            row = [[part], [before], [len(names)], [total], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "before", "n_docs", "n_ids", "data"])
 
         for b in chunks(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = encoder.encode(text) if text else np.zeros(0, np.uint32)
-                names.append(doc)
-                ids.append(np.append(x, np.uint32(end_id)))
-                total += len(x) + 1
+            x, n = encoder.encode(b.column(1))
+            x, n = np.insert(x, np.cumsum(n), np.uint32(end_id)), n + 1
+            doc, end, at = b.column(0).to_pylist(), np.cumsum(n), 0
+            while at < len(doc):
+                lo = int(end[at] - n[at])
+                to = min(int(np.searchsorted(end, lo + SHARD_IDS - total)) + 1, len(doc))
+                names += doc[at:to]
+                counts.append(n[at:to])
+                ids.append(x[lo : end[to - 1]])
+                total += len(ids[-1])
                 if total >= SHARD_IDS:
                     yield out()
-                    names, ids, total, before = [], [], 0, before + total
+                    names, counts, ids, total, before = [], [], [], 0, before + total
+                at = to
         if names:
             yield out()
 
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    df = df.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the start of the text deals out rows of one id, or of none
+    df = df.repartitionByRange(n, "doc_id", F.substring("text", 1, 8)).sortWithinPartitions("doc_id", "text")
     return df.mapInArrow(run, _SCHEMA)
 
 

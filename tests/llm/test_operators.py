@@ -121,6 +121,47 @@ def test_token_ids(spark, docs, empty, tmp_path):
     assert sum(len(r.ids) for r in token_ids.read_ids(spark, str(tmp_path / "ids")).collect()) == at
 
 
+def odd_texts(n, seed=3):
+    import random
+
+    r = random.Random(seed)
+    signs = "abcXYZ \u00c0\u00c9\u00df\u00e9\u00ff\u00d7\u00f7'\u2019 \t\n\r\x0b\x00\x7f<|>12.,!-\u2014\u4f60\u597d\u0410\u0431\u0412\u0439\u0419\u0301\u0308\u0130I\u017f\u00b2\u00bd\u00a0\u2026\u2003\u3000\U0001f600"
+    pick = lambda: r.choice([r.choice(signs), r.choice(signs), "<|endoftext|>", "<|startoftext|>", "it's ", "the ", "I'LL ", " "])
+    return ["".join(pick() for _ in range(r.randint(0, 30))) for _ in range(n)]
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    file = registry.tokenizer_file()
+    lib, texts = Tokenizer.from_file(file), [*odd_texts(6000), None, ""]
+    want = [e.ids for e in lib.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    real = token_ids.hash_spans
+    for hashes in (real, lambda *a: real(*a) | np.uint64((1 << 63) - 1)):  # the second one collides
+        monkeypatch.setattr(token_ids, "hash_spans", hashes)
+        encoder, got = token_ids.Encoder(file), []
+        for at in range(0, len(texts), 500):
+            ids, n = encoder.encode(pa.array(texts[at : at + 500], pa.string()))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+    monkeypatch.undo()
+    monkeypatch.setattr(token_ids, "PART", 1 << 12)
+    text = " ".join(x or "" for x in texts)
+    ids, n = token_ids.Encoder(file).encode(pa.array([text]))
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+
+
+def test_token_shards_of_a_part(spark, monkeypatch):
+    monkeypatch.setattr(token_ids, "SHARD_IDS", 300)
+    rows = [(i if i else -(1 << 63), prose(10 + i % 90)) for i in range(200)] + [(None, "no id"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    made = token_ids.shards(d, registry.tokenizer_file(), partitions=2).cache()
+    assert made.groupBy("part").count().agg({"count": "max"}).first()[0] > 5
+    out = token_ids._read(made, True).orderBy("start").collect()
+    assert [r.doc_id for r in out] == [None, None, -(1 << 63), *range(1, 200)]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:])) and out[0].start == 0
+
+
 def test_pfor_round_trip():
     rng = np.random.default_rng(2)
     for ids in (np.zeros(5, np.uint32), rng.integers(0, 50_000, 5000).astype(np.uint32), np.where(rng.random(3000) < 0.03, 2**32 - 1, rng.integers(0, 30, 3000)).astype(np.uint32), np.array([7], np.uint32)):
