@@ -13,15 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Spark deals rows to Arrow by number only unless this is set; long texts would make large batches.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _made: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only if the session names none."""
+    """The shared folder; a local one is set only if the session names none and runs on this machine alone."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="palisade-")
@@ -29,9 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the bytes of an Arrow batch, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
@@ -58,4 +69,5 @@ def release() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,6 +1,7 @@
 """Edge cases of every operator and comparisons with brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -85,6 +86,74 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert sum(got.values()) >= 0.999 * sum(map(sum, want)) and all(got[i] <= sum(want[i]) for i in got)
 
 
+def test_jaccard_join_repeated_and_null_ids(spark):
+    a, b = prose(60), prose(60)
+    near = lambda x: x.replace(x.split()[30], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, a), (5, b), (None, a), (None, near(b)), (None, prose(50)), (7, prose(40)), (7, prose(40))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or -1, r.n_links) for r in jaccard_join.jaccard_join(d).collect())
+    assert got == sorted((r[0] or -1, sum(x)) for r, x in zip(rows, brute_links(rows)))
+    kept = sorted((r.doc_id or -1, r.text) for r in jaccard_join.keep_one(d).collect())
+    assert kept == sorted((r[0] or -1, r[1]) for r in (rows[0], rows[1], *rows[8:]))
+    twice = d.unionByName(d)
+    assert sorted((r.doc_id or -1, r.text) for r in jaccard_join.keep_one(twice).collect()) == kept
+
+
+def test_jaccard_join_equals_brute_force_on_documents(spark):
+    """Every link and class of the documents of sf0.01."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := split(t or "")) else set() for _, t in rows]
+    holds: dict = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            holds.setdefault(g, []).append(i)
+    common: dict = {}
+    for own in holds.values():
+        for i, j in itertools.combinations(own, 2):
+            common[i, j] = common.get((i, j), 0) + 1
+    links, root = [0] * len(rows), list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for (i, j), x in common.items():
+        if x >= 0.8 * (len(sets[i]) + len(sets[j]) - x) - 1e-9:
+            links[i], links[j] = links[i] + 1, links[j] + 1
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    want = sorted((r[0], least[find(i)], links[i]) for i, r in enumerate(rows))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+    assert got == want and sum(links) > 100
+
+
+def test_forest_shortens_prefixes_until_nothing_is_missing(spark, monkeypatch):
+    made = []
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, label: made.append(label) or keep(df, label))
+    a = prose(400)
+    rows = [(i, a.replace(a.split()[i], f"x{i}", 1)) for i in range(1, 5)]
+    jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert [x for x in made if x.startswith("links")] == ["links-5"]
+    monkeypatch.setattr(jaccard_join, "MISSED", 1e-9)
+    jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert [x for x in made if x.startswith("links")] == ["links-5", "links-5", "links-3"]
+    monkeypatch.undo()
+    assert [jaccard_join.shortened(h, 0.8, 5, 3, 12) for h in ({}, {99: 1000}, {80: 100}, {80: 10000})] == [5, 5, 4, 3]
+    assert jaccard_join.shortened({80: 10000}, 0.8, 3, 3, 12) == 3
+
+
+def test_pairs_belong_to_the_trie_of_their_longest_prefix():
+    rng = np.random.default_rng(4)
+    for n in (6, 200):
+        paths = rng.integers(0, 2, (n, 5, 4)).astype(np.uint32)
+        lcp = np.logical_and.accumulate(paths[:, None] == paths[None], axis=3).sum(3)
+        got = [jaccard_join.owned(paths, t) for t in range(5)]
+        for i in range(0, n, 7):
+            for j in range(n):
+                best = int(lcp[i, j].max())
+                want = [best if t == int(lcp[i, j].argmax()) and i != j else 0 for t in range(5)]
+                assert [int(g[i, j]) for g in got] == want
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(20)] + [(100, 101), (102, 101)]
     got = {r.node: r.class_id for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
