@@ -16,10 +16,12 @@ Tokens are runs without blanks.  Domain, language and source of null are ``''``.
 ``domain_of`` (by default, a group of sources by checksum).  Weights of nodes that are not named
 are 1; a weight of 0 takes nothing from the node.
 
-Scale.  Leaves are summed by a partial aggregate; dealing shuffles only the tree's nodes.  Within a
-leaf the cumulative sum goes by bins of the order key of about ``BIN_ROWS`` rows: bins before the
-last one are decided whole, and only rows of the one bin that holds the end of the prefix are
-sorted.  A leaf with a third of all rows is spread over its bins.
+Scale.  The texts are scanned once, for the tokens of each row.  Leaves are summed by a partial
+aggregate; dealing shuffles only the tree's nodes.  Within a leaf the cumulative sum goes by bins of
+the order key of about ``BIN_ROWS`` rows: bins before the last one are decided whole, the last one is
+cut into ``PARTS`` parts, and only rows of the one part that holds the end of the prefix are sorted.
+A leaf with a third of all rows is spread over its bins.  Rows of one doc_id, or of none, have one
+key and share a bin.
 
 Edge cases: null and empty texts have no tokens and are taken with their epoch; repeated rows are
 rows of their own (equal keys are ordered by token count, and rows that also agree in that are
@@ -33,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import scratch
 
-#: Budget against all tokens, most epochs of a leaf, seed, and rows of a bin.
-RATIO, MAX_EPOCHS, SEED, BIN_ROWS = 1.0, 4, 17, 4096
+#: Budget against all tokens, most epochs of a leaf, seed, rows of a bin, and parts of the last bin.
+RATIO, MAX_EPOCHS, SEED, BIN_ROWS, PARTS = 1.0, 4, 17, 4096, 64
 #: Weights of domains and languages, in whole numbers; others are 1.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 2}
 LANG_WEIGHTS = {"en": 5, "fr": 2, "de": 2, "es": 2}
@@ -95,54 +97,72 @@ def leaf_budgets(leaves: DataFrame, ratio: float = RATIO, max_epochs: int = MAX_
 _LEAF = ["domain", "lang", "source"]
 
 
-def _counted(docs: DataFrame, ratio, max_epochs, seed, weights, domain) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Small columns of every row, bins of every leaf, and leaves with whole epochs and the rest."""
+def _leaf(docs: DataFrame, domain) -> list[Column]:
+    """The leaf of each row: domain, lang, source."""
     own = F.coalesce(docs["source"].cast("string"), F.lit(""))
-    small = docs.select(
-        F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), domain(own).alias("domain"),
-        F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), own.alias("source"), n_tokens(docs["text"]).alias("n_tokens"),
-    )
-    leaves = small.groupBy(*_LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
-    leaves = scratch.keep(leaves, "leaves")
+    return [domain(own).alias("domain"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), own.alias("source")]
+
+
+def _placed(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, leaf, ...) with the leaf's plan, their key in the epoch taken in part, bin and part of the bin."""
+    rows = rows.join(plan, _LEAF)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
+    rows = rows.withColumn("key", key)
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("bins")
+    return rows.withColumn("bin", F.shiftright(place, 32)).withColumn("part", F.shiftright(F.pmod(place, F.lit(_KEYS)) * PARTS, 32))
+
+
+def _edge(rows: DataFrame, place: str) -> DataFrame:
+    """Of each leaf: the first place (bin or part) that does not fit the rest, and the tokens before it."""
+    sums = rows.groupBy(*_LEAF, place).agg(F.sum("n_tokens").alias("tokens"), F.max("room").alias("room"))
+    upto = Window.partitionBy(*_LEAF).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("end", F.sum("tokens").over(upto)).where("end > room")
+    return sums.groupBy(*_LEAF).agg(F.min(F.struct(place, (F.col("end") - F.col("tokens")).alias("before"))).alias("x")).select(*_LEAF, f"x.{place}", "x.before")
+
+
+def _planned(docs: DataFrame, ratio, max_epochs, seed, weights, domain) -> tuple[DataFrame, DataFrame]:
+    """The counted rows, from one scan of the texts, and the leaves: whole epochs, rest, bins, and the
+    bin, part and tokens before it where the prefix of the next epoch ends."""
+    counted = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_leaf(docs, domain), n_tokens(docs["text"]).alias("n_tokens"))
+    counted = scratch.keep(counted, "counted")
+    leaves = scratch.keep(counted.groupBy(*_LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
     plan = leaves.join(leaf_budgets(leaves.drop("rows"), ratio, max_epochs, **weights), _LEAF)
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    plan = plan.select(*_LEAF, "epochs", "rest", F.ceil(F.col("rows") / BIN_ROWS).cast("long").alias("bins"))
-    plan = scratch.keep(plan, "plan")
-    rows = small.join(plan, _LEAF)
-    # the order of the epoch that is taken in part
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
-    rows = rows.withColumn("key", key)
-    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("bin", F.shiftright(place * F.col("bins"), 32))
-    bins = rows.groupBy(*_LEAF, "bin").agg(F.sum("n_tokens").alias("tokens"), F.max("rest").alias("rest"))
-    upto = Window.partitionBy(*_LEAF).orderBy("bin")
-    bins = bins.withColumn("end", F.sum("tokens").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # the first bin that does not fit holds the end of the prefix
-    last = bins.where("end > rest").groupBy(*_LEAF).agg(F.min(F.struct("bin", (F.col("end") - F.col("tokens")).alias("before"))).alias("x"))
-    ends = plan.select(*_LEAF).join(last, _LEAF, "left").select(*_LEAF, F.col("x.bin").alias("last"), F.col("x.before").alias("before"))
-    return rows, scratch.keep(ends, "ends"), plan
-
-
-def _taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """rows with ``n_copies``."""
-    both = rows.join(ends, _LEAF)
-    sure = both.where("last is null or bin <> last").withColumn("n_copies", F.col("epochs") + (F.col("last").isNull() | (F.col("bin") < F.col("last"))).cast("long"))
+    plan = scratch.keep(plan.select(*_LEAF, "epochs", "rest", F.ceil(F.col("rows") / BIN_ROWS).cast("long").alias("bins")), "plan")
+    rows = _placed(counted, plan, seed)
+    bins = scratch.keep(_edge(rows.withColumn("room", F.col("rest")), "bin"), "bins")
+    inside = rows.join(bins.withColumnRenamed("bin", "last"), _LEAF).where("bin = last")
+    parts = _edge(inside.withColumn("room", F.col("rest") - F.col("before")), "part")
+    ends = bins.join(parts.withColumnRenamed("before", "inner"), _LEAF)
+    ends = ends.select(*_LEAF, F.col("bin").alias("last"), F.col("part").alias("last_part"), (F.col("before") + F.col("inner")).alias("before"))
+    return counted, scratch.keep(plan.join(ends, _LEAF, "left"), "ends")
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    """Placed rows with ``n_copies``; only rows of the part that holds the end of a prefix are counted and sorted."""
+    at_end = (F.col("bin") == F.col("last")) & (F.col("part") == F.col("last_part"))
+    first = F.col("last").isNull() | (F.col("bin") < F.col("last")) | (F.col("bin") == F.col("last")) & (F.col("part") < F.col("last_part"))
+    sure = rows.where(~F.coalesce(at_end, F.lit(False))).withColumn("n_copies", F.col("epochs") + first.cast("long"))
     order = Window.partitionBy(*_LEAF).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = both.where("bin = last").withColumn("n_copies", F.col("epochs") + (F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("long"))
-    return sure.unionByName(edge)
+    edge = rows.where(at_end)
+    if "n_tokens" not in rows.columns:
+        edge = edge.withColumn("n_tokens", n_tokens(F.col("doc")["text"]))
+    edge = edge.withColumn("n_copies", F.col("epochs") + (F.col("before") + F.sum("n_tokens").over(order) <= F.col("rest")).cast("long"))
+    return sure.unionByName(edge.select(*sure.columns))
 
 
 def mix(docs: DataFrame, ratio: float = RATIO, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain=domain_of, **weights) -> DataFrame:
     """See the module's docstring."""
-    rows, ends, _ = _counted(docs.select("doc_id", "text", "lang", "source"), ratio, max_epochs, seed, weights, domain)
-    return _taken(rows.drop("doc"), ends).select("doc_id", *_LEAF, "n_tokens", "n_copies")
+    counted, plan = _planned(docs, ratio, max_epochs, seed, weights, domain)
+    return _taken(_placed(counted, plan, seed)).select("doc_id", *_LEAF, "n_tokens", "n_copies")
 
 
 def apply_mix(docs: DataFrame, ratio: float = RATIO, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain=domain_of, **weights) -> DataFrame:
     """The rows of docs, each as often as it is taken."""
-    rows, ends, _ = _counted(docs, ratio, max_epochs, seed, weights, domain)
-    taken = _taken(rows, ends).where("n_copies > 0")
+    _, plan = _planned(docs, ratio, max_epochs, seed, weights, domain)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), *_leaf(docs, domain))
+    taken = _taken(_placed(rows, plan, seed)).where("n_copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 

@@ -437,6 +437,53 @@ def test_mixing_redistributes(spark):
     assert got["s1"] == 10 and got["s2"] == 492 and got["s3"] == 502
 
 
+def filled(budget, caps, weights):
+    """Shares of a budget by weight, none above its cap: the common level by bisection."""
+    low, high = 0.0, sum(caps) + 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(c, level * w) for c, w in zip(caps, weights)) < budget else (low, level)
+    return [min(c, high * w) for c, w in zip(caps, weights)]
+
+
+def test_mixing_budgets_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    weights = {"domain_weights": {"d0": 4, "d1": 0, "d2": 2}, "lang_weights": {"en": 5, "de": 2}, "source_weights": {"s3": 3, "s4": 0}}
+    leaves = [(f"d{d}", g, f"s{s}", int(rng.integers(0, 3000))) for d in range(4) for g in ("en", "de", "fr") for s in range(6) if rng.random() < 0.7]
+    of = lambda kind, name: weights[f"{kind}_weights"].get(name, 1)
+    for ratio, epochs in ((0.4, 2), (1.0, 1), (3.0, 2)):
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), ratio, epochs, **weights).collect()}
+        cap = {x[:3]: x[3] * epochs * bool(of("domain", x[0]) and of("lang", x[1]) and of("source", x[2])) for x in leaves}
+
+        def deal(prefix, budget, cap=cap, got=got):
+            kind = ("domain", "lang", "source")[len(prefix)]
+            names = sorted({k[len(prefix)] for k in cap if k[: len(prefix)] == prefix})
+            shares = filled(budget, [sum(c for k, c in cap.items() if k[: len(prefix) + 1] == (*prefix, n)) for n in names], [of(kind, n) for n in names])
+            for n, share in zip(names, shares):
+                if kind == "source":
+                    assert abs(got[(*prefix, n)] - share) < 4, (prefix, n, share)
+                else:
+                    deal((*prefix, n), share)
+
+        deal((), int(sum(x[3] for x in leaves) * ratio))
+
+
+def test_mixing_in_bins_and_parts(spark, monkeypatch):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 11 == 0 else i // 2 if i % 7 else 5, " ".join(["w"] * int(rng.integers(0, 30))) if i % 13 else None, ("en", "fr", None)[i % 3], f"s{i % 4 if i % 3 else 0}") for i in range(600)]
+    c = duckdb.connect()
+    c.register("documents", pa.table({n: list(x) for n, x in zip(("doc_id", "text", "lang", "source"), zip(*rows))}))
+    want = sorted(map(str, c.sql(mixing.oracle_sql()).fetchall()))
+    for bins, parts in ((4096, 64), (5, 3), (50, 1)):
+        monkeypatch.setattr(mixing, "BIN_ROWS", bins)
+        monkeypatch.setattr(mixing, "PARTS", parts)
+        got = [tuple(r) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)).collect()]
+        assert sorted(map(str, got)) == want
+        assert mixing.apply_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == sum(r[-1] for r in got)
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
