@@ -317,15 +317,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until nothing changes; each round is checkpointed.
     """
     edges = scratch.checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before = (edges.count(), None)
+
+    def with_least(pairs):
+        """The pairs with the least neighbour of u; a node with many neighbours is not dealt to one task."""
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return pairs.join(F.broadcast(low) if before[0] <= BROADCAST_IDS else low, "u")
+
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = scratch.checkpoint(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).union(edges.select(F.col("v"), F.col("v"))).distinct()
         before = now
@@ -424,7 +428,8 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, tr
     """One row of each group, with all columns of docs; see the module's docstring."""
     rows = _grouped(docs, k, threshold, trees, levels, recall).where("group is not null")
     keys = scratch.keep(rows.groupBy("group", "doc_id", "th").agg(F.count("*").alias("n")), "groups")
-    first = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x"))
+    first = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("x"), F.sum("n").alias("rows"))
+    first = _small(first.where("rows > 1").drop("rows"))
     stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("th") == F.col("x.th"))
     marks = keys.join(first, "group").where(~stays | (F.col("n") > 1)).select("doc_id", "th", stays.alias("again"))
     marks = scratch.keep(marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "again"), "marks")
