@@ -10,8 +10,9 @@ of punctuation marks.  Its hash gives a sparse index vector of +1 and -1; the ve
 the sum of the index vectors found within two places of it in the whole corpus, and each distinct
 token (by its 64-bit hash) has a vector and a count of its own.  Groups of documents of bounded size
 send the sums and counts of their distinct tokens, cut into ranges of the hash; a range adds up what
-all groups sent and answers each with the totals of the tokens it sent, so no task holds the whole
-vocabulary.  A document pools the unit vectors of its tokens, weighted down by corpus frequency:
+all groups sent and answers each with the totals of the tokens it sent (sums beyond a byte scaled to
+one, as only their direction counts), so no task holds the whole vocabulary.  The documents are read
+twice and must then be the same; if they are not, the task fails.  A document pools the unit vectors of its tokens, weighted down by corpus frequency:
 mean, length of the mean, share of distinct tokens, and size.  A two-layer numpy network reads the
 pooled vector; a temperature fitted on validation rows calibrates its probabilities.
 
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import labels as lab, scratch
@@ -43,8 +44,8 @@ BOUND, PARTS, HELD = 8000, 3, 1
 #: Buckets of tokens, dimensions, nonzero entries of an index vector, places to each side.
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 48, 4, 2
 _GROUPS = 64
-#: Bytes of text of a group of documents, ranges of token hashes.
-GROUP, RANGES = 1 << 24, 256
+#: Bytes of text of a group of documents and of the pieces it is read in, ranges of token hashes.
+GROUP, PIECE, RANGES = 48 << 20, 1 << 23, 256
 
 
 @dataclass
@@ -179,16 +180,24 @@ def _from_planes(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).reshape(-1).view(kind)
 
 
+def _zip(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(x)
+
+
+def _unzip(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _pack(context: np.ndarray, count: np.ndarray) -> bytes:
     """Context sums and counts of tokens; sums of one byte are stored as such."""
     small = np.abs(context).max(axis=1, initial=0) < 128
     wide = context[~small].astype(np.int64)
     head = np.array([len(count), len(wide)], np.int64).tobytes()
-    return zlib.compress(b"".join((head, _planes(count.astype(np.int64)), small.tobytes(), context[small].astype(np.int8).tobytes(), _planes(wide))), 1)
+    return _zip(b"".join((head, _planes(count.astype(np.int64)), small.tobytes(), context[small].astype(np.int8).tobytes(), _planes(wide))))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zlib.decompress(data)
+    raw = _unzip(data)
     n, n_wide = np.frombuffer(raw, np.int64, 2)
     at = 16 + 8 * n
     count, small = _from_planes(raw[16:at], np.int64, n), np.frombuffer(raw, bool, n, at)
@@ -198,6 +207,12 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return context, count
 
 
+def _scaled(context: np.ndarray) -> np.ndarray:
+    """Directions of context sums in numbers of one byte; sums that fit stay as they are."""
+    top = np.abs(context).max(axis=1, keepdims=True, initial=0)
+    return np.where(top > 127, np.rint(context * (127 / np.maximum(top, 1))), context).astype(np.int64)
+
+
 def token_sums(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct tokens in order, the context sums and count of each, and every token's number."""
     kinds, local = np.unique(t.hashes, return_inverse=True)
@@ -223,74 +238,112 @@ def _row_batch(*rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ROW.split(", ")])
 
 
-def _group_rows(group: int, docs: list[tuple[pa.Array, Tokens]]):
-    """Of one group: a row for each range of hashes (kind 0), and its documents' bags of tokens (kind 1)."""
-    shift = np.append(0, np.cumsum([len(t.hashes) for _, t in docs]))
-    lo = np.concatenate([t.lo[:-1] + s for (_, t), s in zip(docs, shift)] + [shift[-1:]])
-    kinds, context, count, local = token_sums(Tokens(np.concatenate([t.hashes for _, t in docs]), lo))
-    step = np.uint64((1 << 64) // RANGES)
+def _group_sums(group: int, pieces):
+    """A row (kind 0) for each range of hashes with the sums of the group's tokens."""
+    kinds, context, count = np.zeros(0, np.uint64), np.zeros((0, DIM), np.int32), np.zeros(0, np.int64)
+    for _, t in pieces:
+        new, c, k, _ = token_sums(t)
+        every = np.union1d(kinds, new)
+        both, many = np.zeros((len(every), DIM), np.int32), np.zeros(len(every), np.int64)
+        for h, x, y in ((kinds, context, count), (new, c, k)):
+            at = np.searchsorted(every, h)
+            both[at] += x
+            many[at] += y
+        kinds, context, count = every, both, many
+    step, total = np.uint64((1 << 64) // RANGES), int(count.sum())
     cut = np.concatenate([[0], np.searchsorted(kinds, np.arange(1, RANGES, dtype=np.uint64) * step), [len(kinds)]])
     # every range hears of every group, so that each knows the number of all tokens
     for i in range(RANGES):
         a, b = cut[i], cut[i + 1]
-        yield _row_batch((group, 0, i, int(shift[-1]), zlib.compress(_planes(kinds[a:b]), 1), _pack(context[a:b], count[a:b])))
-    for k, (ids, t) in enumerate(docs):
-        own = local[shift[k] : shift[k + 1]]
-        n = len(t.lo) - 1
-        key, times = np.unique(np.repeat(np.arange(n), np.diff(t.lo)) * max(len(kinds), 1) + own, return_counts=True)
-        row, number = np.divmod(key, max(len(kinds), 1))
+        yield _row_batch((group, 0, i, total, _zip(_planes(np.diff(kinds[a:b], prepend=np.uint64(0)))), _pack(context[a:b], count[a:b])))
+
+
+def _group_bags(group: int, pieces):
+    """Rows (kind 1) of the group's documents: their tokens' numbers among all of the group, as gaps, and counts."""
+    held = []
+    for ids, t in pieces:
+        kinds, local = np.unique(t.hashes, return_inverse=True)
+        n, m = len(t.lo) - 1, max(len(kinds), 1)
+        key, times = np.unique(np.repeat(np.arange(n), np.diff(t.lo)) * m + local, return_counts=True)
+        row, number = np.divmod(key, m)
+        held.append((ids, kinds, np.bincount(row, minlength=n), number.astype(np.uint32), times.astype(np.uint32)))
+    every = np.unique(np.concatenate([x[1] for x in held]))
+    total = int(sum(x[4].sum(dtype=np.int64) for x in held))
+    for i, (ids, kinds, many, number, times) in enumerate(held):
+        number = np.searchsorted(every, kinds)[number]
+        gap = np.diff(number, prepend=0)
+        first = (np.cumsum(many) - many)[many > 0]
+        gap[first] = number[first]
         known = np.array([x is not None for x in ids.to_pylist()])
-        head = zlib.compress(known.tobytes() + _planes(ids.fill_null(0).to_numpy(zero_copy_only=False)) + _planes(np.bincount(row, minlength=n)), 1)
-        yield _row_batch((group, 1, RANGES + k, n, head, zlib.compress(_planes(number.astype(np.uint32)) + _planes(times.astype(np.uint32)), 1)))
+        head = np.array([len(every), total], np.int64).tobytes() + known.tobytes() + _planes(ids.fill_null(0).to_numpy(zero_copy_only=False)) + _planes(many)
+        yield _row_batch((group, 1, RANGES + i, len(many), _zip(head), _zip(_planes(gap.astype(np.uint32)) + _planes(times))))
+
 
+def _by_group(batches, rows):
+    """Documents (doc_id, text, part) to rows of groups, each read in pieces."""
+    group, size, batches, ended = None, 0, chunks(batches), False
 
-def _by_group(batches):
-    """Documents (doc_id, text) to rows of groups."""
-    first, docs, size, made = TaskContext.get().partitionId() << 32, [], 0, 0
-    for b in chunks(batches):
-        docs.append((b.column(0), tokens(b.column(1))))
-        size += b.column(1).nbytes
-        if size >= GROUP:
-            yield from _group_rows(first + made, docs)
-            docs, size, made = [], 0, made + 1
-    if docs:
-        yield from _group_rows(first + made, docs)
+    def piece():
+        nonlocal ended, size, group
+        ids, t, part = [], [], 0
+        while part < PIECE and not ended:
+            b = next(batches, None)
+            if b is None:
+                ended = True
+            else:
+                group = b.column(2)[0].as_py() << 32 if group is None else group
+                ids.append(b.column(0))
+                t.append(tokens(b.column(1)))
+                part += b.column(1).nbytes
+        size += part
+        if ids:
+            shift = np.append(0, np.cumsum([len(x.hashes) for x in t]))
+            lo = np.concatenate([x.lo[:-1] + s for x, s in zip(t, shift)] + [shift[-1:]])
+            return pa.concat_arrays(ids), Tokens(np.concatenate([x.hashes for x in t]), lo)
+
+    def pieces(first):
+        nonlocal size
+        size = 0
+        yield first
+        while size < GROUP and (x := piece()):
+            yield x
+
+    while x := piece():
+        yield from rows(group, pieces(x))
+        group += 1
 
 
 def _add_up(batches):
-    """Rows sorted by place: each group's sums of a range become the totals; bags pass."""
+    """Rows sorted by place: each group's sums of a range become the totals."""
 
     def answers(place, rows):
-        hashes = [_from_planes(x := zlib.decompress(ids), np.uint64, len(x) // 8) for _, _, ids, _ in rows]
+        hashes = [np.cumsum(_from_planes(x := _unzip(ids), np.uint64, len(x) // 8), dtype=np.uint64) for _, _, ids, _ in rows]
         kinds = np.unique(np.concatenate(hashes))
         context, count, n = np.zeros((len(kinds), DIM), np.int64), np.zeros(len(kinds), np.int64), sum(r[1] for r in rows)
         for h, r in zip(hashes, rows):
             at, (c, k) = np.searchsorted(kinds, h), _unpack(r[3])
             context[at] += c
             count[at] += k
+        scaled = _scaled(context)
         for h, r in zip(hashes, rows):
             at = np.searchsorted(kinds, h)
-            yield _row_batch((r[0], 0, place, n, None, _pack(context[at], count[at])))
+            yield _row_batch((r[0], 0, place, len(h), np.array([r[1], n], np.int64).tobytes(), _pack(scaled[at], count[at])))
 
     now, rows = None, []
     for b in batches:
-        for i in range(b.num_rows):
-            group, kind, place, n, ids, data = (b.column(c)[i].as_py() for c in range(6))
-            if rows and (kind or place != now):
+        for group, place, n, ids, data in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4, 5))):
+            if rows and place != now:
                 yield from answers(now, rows)
                 rows = []
-            if kind:
-                yield b.slice(i, 1)
-            else:
-                now = place
-                rows.append((group, n, ids, data))
+            now = place
+            rows.append((group, n, ids, data))
     if rows:
         yield from answers(now, rows)
 
 
 def _pool_groups(batches):
     """Rows sorted by group, kind and place: the totals of a group's tokens, then its bags."""
-    now, parts, unit, weight = None, [], None, None
+    now, parts, unit, weight, own_total = None, [], None, None, 0
     for b in batches:
         for i in range(b.num_rows):
             group, kind, _, n, ids, data = (b.column(c)[i].as_py() for c in range(6))
@@ -298,30 +351,41 @@ def _pool_groups(batches):
                 now, parts, unit, weight = group, [], None, None
             if not kind:
                 context, count = _unpack(data)
-                parts.append((_unit(context), _weight(count, n)))
+                own_total, every_total = np.frombuffer(ids, np.int64, 2).tolist()
+                parts.append((_unit(context), _weight(count, every_total)))
                 continue
             if unit is None:
                 unit, weight = (np.concatenate(x) for x in zip(*parts))
                 parts = []
-            head, raw = zlib.decompress(ids), zlib.decompress(data)
+            head, raw = _unzip(ids), _unzip(data)
+            if np.frombuffer(head, np.int64, 2).tolist() != [len(unit), own_total]:
+                raise RuntimeError("the documents were not the same when read again; write them to a table first")
+            head = head[16:]
             known, doc, many = np.frombuffer(head, bool, n), _from_planes(head[n:], np.int64, n), _from_planes(head[9 * n :], np.int64, n)
             m = len(raw) // 8
-            number, times = _from_planes(raw, np.uint32, m), _from_planes(raw[4 * m :], np.uint32, m).astype(np.int64)
+            gap, times = _from_planes(raw, np.uint32, m), _from_planes(raw[4 * m :], np.uint32, m).astype(np.int64)
             x, end = np.zeros((n, DIM + 5), np.float32), np.cumsum(many)
             for k in np.flatnonzero(many):
                 own = slice(end[k] - many[k], end[k])
-                x[k] = _pool(unit[number[own]], weight[number[own]], times[own])
+                number = np.cumsum(gap[own], dtype=np.int64)
+                x[k] = _pool(unit[number], weight[number], times[own])
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=~known), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the pooled features (float32 bytes) of every row, with a vector for each distinct token."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = texts.mapInArrow(_by_group, _ROW)
-    # a bag waits wherever it falls; a range of hashes needs one place
-    where = F.when(F.col("kind") == 0, F.col("place").cast("long")).otherwise(F.xxhash64("group", "place"))
-    totals = sent.withColumn("at", where).repartition("at").sortWithinPartitions("kind", "place").drop("at").mapInArrow(_add_up, _ROW)
-    return totals.repartition("group").sortWithinPartitions("group", "kind", "place").mapInArrow(_pool_groups, "doc_id long, x binary")
+    # a task reads a group's worth of text, if that leaves work for every core: fewer groups ask for a token
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many, cores = texts.rdd.getNumPartitions(), texts.sparkSession.sparkContext.defaultParallelism
+    texts = texts.coalesce(max(1, min(many, max(-(-size // GROUP), 2 * cores))))
+    # the number of the partition, which is the same in both readings
+    texts = texts.withColumn("part", F.spark_partition_id())
+    sums = texts.mapInArrow(lambda it: _by_group(it, _group_sums), _ROW)
+    totals = sums.repartition("place").sortWithinPartitions("place").mapInArrow(_add_up, _ROW)
+    # the texts are read a second time, in the same groups; bags meet the totals of their group
+    bags = texts.mapInArrow(lambda it: _by_group(it, _group_bags), _ROW)
+    return totals.unionByName(bags).repartition("group").sortWithinPartitions("group", "kind", "place").mapInArrow(_pool_groups, "doc_id long, x binary")
 
 
 @dataclass
