@@ -68,6 +68,12 @@ def _emails(t: str):
         at = t.find("@", last)
 
 
+def _to_255(digits: str) -> bool:
+    """Whether a run of digits, of any length, is a number of at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _ips(t: str):
     group: list[tuple[int, int]] = []
     for m in _DIGITS.finditer(t):
@@ -76,7 +82,7 @@ def _ips(t: str):
             group = []
         group.append((s, e))
         if len(group) == 4:
-            if all(e - s <= 3 or not t[s:e].lstrip("0")[3:] for s, e in group) and all(int(t[s:e]) <= 255 for s, e in group if e - s < 4000) and all(e - s < 4000 for s, e in group):
+            if all(_to_255(t[s:e]) for s, e in group):
                 yield group[0][0], e
             group = []
 
@@ -184,8 +190,8 @@ def tokenise(column: pa.Array) -> Tokens:
     keep = first & (data > 0x20) & (data != 0x7F)
     place = np.append(0, np.cumsum(keep))
     brief = hash_spans(shape[keep], place[starts], place[ends])
-    whole = hash_spans(shape, starts, np.minimum(ends, starts + 24))
-    word = hash_spans(LOWER[data], starts, np.minimum(ends, starts + 24))
+    whole = hash_spans(shape, starts, ends)
+    word = hash_spans(LOWER[data], starts, ends)
     digits = np.append(0, np.cumsum((data >= 0x30) & (data <= 0x39)))
     alpha = np.append(0, np.cumsum((shape == ord("x")) | (shape == ord("X"))))
     size, nd, na = ends - starts, digits[ends] - digits[starts], alpha[ends] - alpha[starts]

@@ -507,6 +507,26 @@ def test_pii(spark, docs, empty):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_addresses_with_many_zeros():
+    for text in ("0" * 4100 + "1.2.3.4", "1.2.3.0000256", "1.2.3." + "0" * 5000 + "255", "1.2.3." + "9" * 5000):
+        assert [(s, e) for s, k, e in pii.base_spans(text) if k == 1] == ([(0, len(text))] if text[-3:] not in ("256", "999") else [])
+
+
+def test_learned_spans_of_documents():
+    """Phones without a plus and long keys, which no base pattern finds, in the documents of sf0.01."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    texts = [t and t.replace("+1 (", "(") for t in texts]
+    found = {}
+    for row, s, k, e in pii.learned_spans(pii.default_field(), pii.tokenise(pa.array(texts))):
+        found.setdefault(row, []).append((s, e))
+    for pattern in (r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", r'(?<=")[0-9a-f]{32,}(?=")'):
+        places = [(i, *m.span()) for i, t in enumerate(texts) for m in re.finditer(pattern, t or "")]
+        hit = sum(any(a < e and s < b for a, b in found.get(i, ())) for i, s, e in places)
+        assert len(places) >= 10 and hit >= 0.9 * len(places), (pattern, len(places), hit)
+
+
 def test_viterbi_is_exact():
     """Batched decoding, with its bound, finds what plain dynamic programming finds."""
     field = pii.default_field()
