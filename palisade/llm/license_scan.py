@@ -10,8 +10,9 @@ Method.  Phrases and notices are templates.  One scan of the documents hashes ev
 ``K`` words and keeps, in the row, the places whose hash any template has (a semi-join with a list
 of fixed size).  These places join the templates' positions; votes are counted by document,
 template and diagonal (place less template position); neighbouring diagonals of a notice, whose
-words were inserted or left out, are merged; spans are then verified on the words themselves, and of
-notices that overlap the one with the greatest share of votes, then the most votes, counts.  Base
+words were inserted or left out, are merged (a group that stray k-grams stretch far beyond the notice
+is split again, into every diagonal with its neighbours); spans are then verified on the words
+themselves, and of notices that overlap the one with the greatest share of votes, then the most votes, counts.  Base
 phrases take one diagonal with all its votes and word-for-word equality.
 
 The templates are constants of this module (a few hundred k-grams), so the broadcast is bounded.
@@ -99,9 +100,16 @@ def scan(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "tid").orderBy("diag")
     near = diagonals.where(~F.col("base")).withColumn("new", (F.coalesce(F.col("diag") - F.lag("diag").over(order), F.lit(SLACK + 1)) > SLACK).cast("int"))
     near = near.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    near = near.groupBy("row", "tid", "group").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), (F.max("hi") + K - 1).alias("hi"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("twords").alias("twords"), F.first("n").alias("n"))
-    near = near.withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("n") - (K - 1)))).where((F.col("share") >= VOTES) & (F.col("hi") - F.col("lo") + 1 <= STRETCH * F.col("n")))
-    spans = spans.unionByName(near.select(*spans.columns))
+    own = ["row", "tid", "group"]
+    merged = near.groupBy(*own).agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), (F.max("hi") + K - 1).alias("hi"), *(F.first(c).alias(c) for c in ("label", "base", "twords", "n")))
+    merged = merged.withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("n") - (K - 1)))).where(F.col("share") >= VOTES)
+    long = F.col("hi") - F.col("lo") + 1 > STRETCH * F.col("n")
+    # stray k-grams beside a notice stretch its group: there, each diagonal counts with its neighbours only
+    beside = Window.partitionBy(*own).orderBy("diag").rangeBetween(-SLACK, SLACK)
+    split = near.join(merged.where(long).select(*own), own)
+    split = split.select(*own, "label", "base", "twords", "n", F.sum("votes").over(beside).alias("votes"), F.min("lo").over(beside).alias("lo"), (F.max("hi").over(beside) + K - 1).alias("hi"))
+    split = split.withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("n") - (K - 1)))).where((F.col("share") >= VOTES) & ~long)
+    spans = spans.unionByName(merged.where(~long).select(*spans.columns)).unionByName(split.select(*spans.columns).distinct())
 
     held = rows.where("words is not null").select("row", "words")
     seen = F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)

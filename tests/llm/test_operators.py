@@ -255,6 +255,29 @@ def test_license_scan(spark, docs, empty):
     assert r.labels == "gpl-3,mit" and r.base_labels == "" and 0.6 <= r.score <= 1
 
 
+def test_license_base_equals_brute_force(spark):
+    """Every place of a base phrase in the documents of sf0.01, and in texts with many, and ties."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10**6, "under the MIT license " * 300), (10**6, "cc by nc cc BY nc by-nc"), (10**6 + 1, prose(30_000) + " Apache License, Version 2 under the mit license"), (None, "under the mit. License")]
+    want = []
+    for doc, text in rows:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        at = sorted((i, label) for p, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        want.append((doc, len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))))
+    got = [tuple(r)[:6] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] for x in want) > 320
+
+
+def test_license_notices_among_stray_words(spark):
+    stray = "licensed under the "
+    rows = [
+        (1, stray * 5 + "GNU General Public License version 2", "gpl-2"), (2, stray * 40 + "gnu affero general public license " + stray * 3, "agpl"), (3, stray * 30, ""),
+        (4, "Released under the BSD license. " * 4, "bsd"), (5, "licensed under the gnu lesser general public license. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "lgpl,mpl-2"),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    assert got == {x[0]: x[2] for x in rows}
+
+
 def test_html(spark):
     para = "This is the text of the article and it has all the words that one would expect to find in a long paragraph of prose. "
     page = f"""<html><head><title>T</title><style>p{{}}</style></head><body class="sidebar"><header>Site name</header><nav><ul><li><a href=x>Home</a></ul></nav>
