@@ -13,7 +13,8 @@ or main element holds text, blocks outside it are boilerplate.
 
 Edge cases: null and empty pages have no text; unclosed elements, comments and quotes, stray ``<``
 and unknown tags are read as browsers do, to the end of the page at most; a page without a decided
-block keeps its ambiguous blocks; text without any markup is one block; a null url stays null;
+block keeps its ambiguous blocks; text inside formulas, objects and media is text; buttons go, but for
+those in a sentence; deep nesting and stray tags take time linear in the page; text without any markup is one block; a null url stays null;
 repeated rows are all returned; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -44,7 +45,9 @@ BLOCK = frozenset(
 footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section
 summary table tbody td tfoot th thead title tr ul""".split()
 )
-RAW = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg math canvas object audio video select button".split())
+RAW = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg select button".split())
+#: Elements whose buttons are part of a sentence.
+SENTENCE = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav aside footer form menu dialog fieldset label head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -57,7 +60,7 @@ recommended pagination pager toolbar skip hidden""".split()
 SCOPE = frozenset(("article", "main"))
 #: Words that make the rest of a class a state of a wrapper (has-sidebar, no-sidebar), not its content.
 STATES = frozenset("has no not with without is hide hides show shows".split())
-#: How an element holds boilerplate: by class or id, which a nested article overrides, or by element, role or hiding.
+#: How an element holds boilerplate: by class or id or as a form, which a nested article overrides, or by element, role or hiding.
 SOFT, HARD = 1, 2
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -85,6 +88,16 @@ class _State:
     link: int = 0
     anchors: int = 0
     breaks: int = 0
+    open: dict = field(default_factory=dict)
+
+    def push(self, name: str, level: int, scope: int) -> None:
+        self.stack.append((name, level, scope))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.open[name] -= 1
+        return name
 
 
 def _named(value: str) -> bool:
@@ -98,6 +111,8 @@ def _named(value: str) -> bool:
 
 def _marked(name: str, attrs: str, in_scope: bool) -> int:
     """SOFT or HARD if an element holds boilerplate by its name or attributes, else 0."""
+    if name == "form":
+        return SOFT  # some pages stand in one form
     if name in BOILER or name == "header" and not in_scope:
         return HARD
     if not attrs or name in ("html", "body") or name in SCOPE:
@@ -179,7 +194,7 @@ def blocks(page: str) -> list[Block]:
             if s.breaks > 1:
                 _flush(s)
             continue
-        if name in RAW:
+        if name in RAW and not (name == "button" and s.stack and s.stack[-1][0] in SENTENCE):
             if not close and not attrs.rstrip().endswith("/"):
                 low = page.lower() if low is None else low
                 if len(low) != n:  # lower-casing can change lengths outside ASCII
@@ -204,16 +219,14 @@ def blocks(page: str) -> list[Block]:
             if name in VOID:
                 continue
             if close:
-                for i in range(len(s.stack) - 1, -1, -1):
-                    if s.stack[i][0] == name:
-                        del s.stack[i:]
-                        break
+                while s.open.get(name) and s.pop() != name:
+                    pass
             else:
                 if top[0] == name and name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                    s.stack.pop()
+                    s.pop()
                     top = s.stack[-1] if s.stack else ("", 0, 0)
                 elif top[0] == "p" and name in BLOCK:
-                    s.stack.pop()
+                    s.pop()
                     top = s.stack[-1] if s.stack else ("", 0, 0)
                 scope, level = top[2], max(top[1], boiler)
                 if _opens(name, attrs, level, scope):
@@ -221,7 +234,7 @@ def blocks(page: str) -> list[Block]:
                 if name in SCOPE:
                     scopes += 1
                     scope = scopes
-                s.stack.append((name, level, scope))
+                s.push(name, level, scope)
     _flush(s)
     return s.blocks
 

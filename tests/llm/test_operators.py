@@ -325,6 +325,57 @@ def test_html_wrappers_with_boilerplate_words():
         assert html_text.main_text(page) == "", page
 
 
+A = "The river rose in the night and the people of the town went up to the old mill with all that they could carry."
+B = "In the morning it was quiet again, and from the hill they saw that the bridge was still there as it had been."
+#: Pages and the blocks of their articles.
+PAGES = [
+    (f"<html><head><title>T</title><style>p {{}}</style></head><body><nav><a href=x>Home</a></nav><article><p>{A}</p><p>{B}</p></article><footer>Imprint</footer></body></html>", [A, B]),
+    (f'<div class="layout has-sidebar"><article><p>{A}</p></article><aside><p>{B}</p></aside></div>', [A]),
+    (f'<div id="content" class="no-comments"><p>{A}</p><p>{B}</p></div>', [A, B]),
+    (f'<form id="page"><div><article><h1>Flood</h1><p>{A}</p></article></div><p>Search the site</p></form>', ["Flood", A]),
+    (f"<main><p>{A}</p><form><label>Name</label><input><p>{B}</p></form></main>", [A]),
+    (f"<main><p>Let <math><mi>x</mi></math> and <math><mi>y</mi></math> be here. {A}</p></main>", [f"Let x and y be here. {A}"]),
+    (f"<main><p>{A} Press <button>Start</button> now.</p><button>Share</button></main>", [f"{A} Press Start now."]),
+    (f"<main><p>{A}</p><object>A chart of the flood.</object></main>", [A, "A chart of the flood."]),
+    (f"<article><p>{A}<script>var a = '<p>no</p>';</script></p><p>{B}</p></article>", [A, B]),
+    (f"<article><p>{A}<p>{B}</article>", [A, B]),
+    (f"<article>{A}<br><br>{B}</article>", [A, B]),
+    (f"<article><ul><li>{A}<li>{B}</ul></article>", [A, B]),
+    (f"<article><p>Caf&eacute; &amp; bar &#8212; {A}</p></article>", [f"Caf\u00e9 & bar \u2014 {A}"]),
+    (f"<article><p>  {A[:20]}\n\t{A[20:]}  </p></article>", [A[:20].strip() + " " + A[20:].strip()]),
+    (f'<article><p>{A}</p><div class="ad">Buy it now, the best of all the offers that you have ever seen in this town.</div><p>{B}</p></article>', [A, B]),
+    (f'<article><p>{A}</p></article><section class="comments"><p>{B}</p></section>', [A]),
+    (f'<article><p>{A}</p><div role="alert"><p>{B}</p></div></article>', [A]),
+    (f"<article><p>{A}</p><p hidden>{B}</p></article>", [A]),
+    (f'<div class="cookie-notice"><p>{B}</p></div><div><p>{A}</p></div>', [A]),
+    (f"<body><div><p>{A}</p></div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></body>", [A]),
+    (f"<!-- <p>no</p> --><p>{A}</p><!-- no end <p>{B}</p>", [A]),
+    (f"<article><table><tr><td>{A}<td>{B}</table></article>", [A, B]),
+    (f"<article><p>a &lt; b and 3 < 4, {A}</p></article>", [f"a < b and 3 < 4, {A}"]),
+    (f"<article><div><p>{A}</p></section></span></div><p>{B}</p></article>", [A, B]),
+    (A, [A]),
+]
+
+
+def test_html_labelled_pages(spark):
+    rows = [(i, page) for i, (page, _) in enumerate(PAGES)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "cast(null as string) as url", "html")).collect()}
+    assert got == {i: "\n\n".join(want) for i, (_, want) in enumerate(PAGES)}
+
+
+def test_html_hostile_nesting_is_linear():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "</p>" * n + "<b class=x>" * n + "</section>" * n + f"<p>{A}</p>"
+        at = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - at
+
+    took(1000)
+    assert took(40_000) < 12 * took(10_000) + 0.5
+
+
 def test_decontamination(spark, docs, empty):
     rng = np.random.default_rng(3)
     items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 30, 24))) for i in range(6)] + [(90, None), (91, ""), (92, "too short")]
