@@ -13,11 +13,13 @@ Items whose matches cannot reach the limit even unmarked are passed over before
 bound, so nothing is lost).
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text (or
-one item), and each block is broadcast for one pass over the documents, so its size is bounded
-whatever the benchmark's.  Documents are never shuffled.
+one item); one pass over the documents hashes their words once and reads at most ``PASS_BLOCKS``
+blocks, so what is broadcast for a pass is bounded whatever the benchmark's size.  Documents are never
+shuffled.
 
-Edge cases: null or empty documents and items match nothing; items of fewer than ``k`` words have
-no seed and match nothing; repeated items count by item_id; repeated rows are all returned; equally
+Edge cases: null or empty documents and items match nothing; an item of fewer than ``k`` words counts
+where all of it stands in a row (its coverage is then 1), one of fewer than ``SHORTEST`` words matches
+nothing, as its word would mark texts that never saw the benchmark; repeated items count by item_id; repeated rows are all returned; equally
 long tiles are marked by document position, then item position; extra columns are ignored here and
 kept by ``remove_contaminated``; an empty benchmark leaves every document clean.
 """
@@ -32,8 +34,10 @@ from .words import chunks, grams, words
 
 #: Words of a seed and of the shortest tile; least covered share of an item.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bytes of benchmark text broadcast at a time.
-BLOCK_BYTES = 4 << 20
+#: Words of the shortest item that is looked for.
+SHORTEST = 2
+#: Bytes of benchmark text that are broadcast as one block, and blocks that one pass over the documents reads.
+BLOCK_BYTES, PASS_BLOCKS = 4 << 20, 8
 _BITS = 20
 
 
@@ -53,6 +57,14 @@ class Seeds:
         self.last = np.append(self.first[1:], len(order))
         self.map = np.zeros(1 << _BITS, bool)
         self.map[self.seed >> np.uint64(64 - _BITS)] = True
+        size = np.diff(w.lo)
+        self.short = {}
+        for m in range(SHORTEST, k):
+            items = np.flatnonzero(size == m)
+            if len(items):
+                own = np.array([grams(w.hashes[w.lo[i] : w.lo[i + 1]], m)[0] for i in items], np.uint64)
+                order = np.argsort(own, kind="stable")
+                self.short[m] = own[order], items[order]
 
     def length(self, item: int) -> int:
         return int(self.lo[item + 1] - self.lo[item])
@@ -82,9 +94,26 @@ def tile(doc: np.ndarray, item: np.ndarray, runs: np.ndarray, k: int) -> list[tu
     return out
 
 
+def _whole(w, seeds: Seeds, found: dict) -> None:
+    """Add the items shorter than a seed that stand whole in rows of a chunk."""
+    for m, (own, items) in seeds.short.items():
+        g = grams(w.hashes, m)
+        lo, hi = np.searchsorted(own, g, "left"), np.searchsorted(own, g, "right")
+        done = set()
+        for at in np.flatnonzero(hi > lo):
+            row = int(np.searchsorted(w.lo, at, "right")) - 1
+            if at + m > w.lo[row + 1]:
+                continue
+            for x in items[lo[at] : hi[at]].tolist():
+                if (row, x) not in done and np.array_equal(w.hashes[at : at + m], seeds.hashes[seeds.lo[x] : seeds.lo[x + 1]]):
+                    done.add((row, x))
+                    found.setdefault(row, []).append((int(seeds.ids[x]), 1.0))
+
+
 def _covered(w, seeds: Seeds, coverage: float) -> dict[int, list[tuple[int, float]]]:
     """For rows of a chunk: the items covered, with their coverage."""
     k, found = seeds.k, {}
+    _whole(w, seeds, found)
     g = grams(w.hashes, k)
     if not len(g) or not len(seeds.seed):
         return found
@@ -124,28 +153,40 @@ def _covered(w, seeds: Seeds, coverage: float) -> dict[int, list[tuple[int, floa
     return found
 
 
-def _blocks(bench: DataFrame, k: int):
-    """Broadcasts of the benchmark's seeds, one for each block of items."""
+def _passes(bench: DataFrame, k: int):
+    """The benchmark's seeds in blocks of items, a few blocks for each pass over the documents."""
     spark = bench.sparkSession
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
+    n, made = max(1, -(-size // BLOCK_BYTES)), []
     for b in range(n):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
-        if rows or n == 1:
-            yield spark.sparkContext.broadcast(Seeds([r.item_id for r in rows], [r.text for r in rows], k))
+        if rows:
+            made.append(spark.sparkContext.broadcast(Seeds([r.item_id for r in rows], [r.text for r in rows], k)))
+        if len(made) == PASS_BLOCKS:
+            yield made
+            made = []
+    if made:
+        yield made
+
+
+def _hits(column: pa.Array, blocks, coverage: float) -> dict[int, list[tuple[int, float]]]:
+    w, found = words(column), {}
+    for seeds in blocks:
+        for i, own in _covered(w, seeds.value, coverage).items():
+            found.setdefault(i, []).extend(own)
+    return found
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, k: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """See the module's docstring."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("coverage"), F.array().cast("array<long>").alias("item_ids"))
-    for seeds in _blocks(bench, k):
+    for blocks in _passes(bench, k):
 
-        def mark(batches, seeds=seeds):
+        def mark(batches, blocks=blocks):
             for b in chunks(batches):
-                found = _covered(words(b.column(1)), seeds.value, coverage)
                 most, items = b.column(2).to_pylist(), b.column(3).to_pylist()
-                for i, hits in found.items():
+                for i, hits in _hits(b.column(1), blocks, coverage).items():
                     most[i] = max(most[i], *(s for _, s in hits))
                     items[i] = sorted({*items[i], *(x for x, _ in hits)})
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(most, pa.float64()), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "coverage", "item_ids"])
@@ -156,11 +197,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, k: int = SEED_WORDS, covera
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, k: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs, with all their columns, that no benchmark item contaminates."""
-    for seeds in _blocks(bench, k):
+    for blocks in _passes(bench, k):
 
-        def clean(batches, seeds=seeds):
+        def clean(batches, blocks=blocks):
             for b in chunks(batches):
-                found = _covered(words(b.column(b.schema.get_field_index("text"))), seeds.value, coverage)
+                found = _hits(b.column(b.schema.get_field_index("text")), blocks, coverage)
                 yield b.filter(pa.array([i not in found for i in range(b.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

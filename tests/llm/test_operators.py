@@ -396,6 +396,20 @@ def test_decontamination(spark, docs, empty):
     assert left.columns == docs.columns and left.count() == len(ROWS) - 3
 
 
+def test_decontamination_of_short_items_and_repeats(spark, monkeypatch):
+    long = prose(60)
+    bench = spark.createDataFrame([(1, "four words stand whole"), (2, "two words"), (3, "word"), (4, long), (5, "two words")], "item_id long, text string")
+    many = " ".join([long] * 400 + prose(2000).split())
+    rows = [(1, "see four words, stand whole"), (2, "four words stand"), (3, "whole four words stand"), (4, "two"), (None, "just TWO words"), (6, "word"), (7, many), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, per in ((4 << 20, 8), (40, 2), (40, 1)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "PASS_BLOCKS", per)
+        got = {r.doc_id: (r.coverage, r.item_ids) for r in decontaminate.decontaminate(docs, bench).collect()}
+        assert got == {1: (1.0, [1]), 2: (0.0, []), 3: (0.0, []), 4: (0.0, []), None: (1.0, [2, 5]), 6: (0.0, []), 7: (1.0, [4]), 8: (0.0, [])}
+        assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [2, 3, 4, 6, 8]
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 64)
     bench = spark.createDataFrame([(1, BASE), (2, prose(30)), (3, LONG[:900])], "item_id long, text string")
