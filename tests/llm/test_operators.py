@@ -174,6 +174,42 @@ def test_media(spark, docs, empty):
     assert out[0].n_samples == 47 and out[0].keyframes[0].stop - out[0].keyframes[0].start == 64 and out[1].codec is None
 
 
+def test_media_of_several_tracks_and_fragments():
+    import struct
+
+    m = media.wrap(b"abc" * 1000)
+    at = m.index(b"moov") - 4
+    size = struct.unpack_from(">I", m, at)[0]
+    moov, rest = m[at + 8 : at + size], m[at + size :]
+    trak = moov[moov.index(b"trak") - 4 :]
+    shift = len(trak)
+    two = m[:at] + media.box(b"moov", moov, trak) + rest
+    place = two.index(b"mdat") + 4
+    two = two.replace(struct.pack(">I", place - shift), struct.pack(">I", place))
+    seen = media.describe(two)
+    assert len(seen["tracks"]) == 2 and seen["tracks"][0] == seen["tracks"][1] and seen["n_samples"] == 47
+    t = media.walk(two)[1]
+    assert media.payload(two, t).rstrip(b"\0") == b"abc" * 1000
+
+    # a fragment of three samples, the second one no keyframe
+    frame = lambda flags: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0, 0x20000, struct.pack(">I", 1)), media.full(b"trun", 0, 0x701, struct.pack(">Ii", 3, flags), *(struct.pack(">III", 5, n, f) for n, f in ((3, 0), (4, 0x10000), (2, 0))))))
+    body = media.box(b"mdat", b"aaabbbbcc")
+    whole = m + frame(len(frame(0)) + 8) + body
+    t = media.walk(whole)[0]
+    assert media.payload(whole, t) == media.payload(m, media.walk(m)[0]) + b"aaabbbbcc"
+    seen, base = media.describe(whole), media.describe(m)
+    assert seen["n_samples"] == base["n_samples"] + 3 and seen["duration"] == base["duration"] + 15 / media.TIMESCALE
+    end = len(whole) - 9
+    assert seen["keyframes"] == base["keyframes"] + [(end, end + 3), (end + 7, end + 9)]
+
+    # counts beyond the file
+    sizes = m.index(b"stsz") + 12
+    assert media.describe(m[: sizes] + struct.pack(">I", 0xFFFFFFFF) + m[sizes + 4 :]) is None
+    runs = m.index(b"stsc") + 16
+    assert media.describe(m[:runs] + struct.pack(">I", 0xFFFFFFFF) + m[runs + 4 :])["n_samples"] == 47
+    assert media.describe(m[:-100]) is None
+
+
 def test_token_ids(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
