@@ -34,58 +34,47 @@ class State:
     def pack(self) -> tuple:
         return sorted(self.tools), list(self.attempts), list(self.blocks), self.read_at, self.allowed, self.seen
 
+    def at(self, t: float, c: Config) -> State:
+        """The state at time t: a new one after too long a pause."""
+        s = State() if self.seen is not None and t - self.seen > c.profile_ttl_s else self
+        s.seen = t
+        return s
+
+    def unusual(self, t: float, tool: str, critical: bool, risky: bool, c: Config) -> tuple[float, list[str]]:
+        """Count this attempt, and say how unusual it is: the noisy-or of all signs, and why."""
+        self.attempts.append(t)
+        lately = sum(t - x <= c.rate_window_s for x in self.attempts)
+        blocked = sum(t - x <= c.block_window_s for x in self.blocks)
+        just_read = self.read_at is not None and t - self.read_at <= c.sensitive_read_window_s
+        signs = {
+            f"{lately} calls within {c.rate_window_s:g} seconds": (lately > c.rate_limit) * min(0.6, 0.3 + 0.3 * (lately - c.rate_limit) / c.rate_limit),
+            f"never used '{tool}' before": 0.25 * (self.allowed >= 3 and tool not in self.tools),
+            "sends data out shortly after a sensitive read": 0.7 * bool(risky and just_read),
+            "begins with a critical tool": 0.25 * (critical and self.allowed == 0),
+            f"blocked {blocked} times shortly before": min(0.5, 0.2 * blocked),
+        }
+        usual = 1.0
+        for weight in signs.values():
+            usual *= 1.0 - weight
+        return 1.0 - usual, [why for why, weight in signs.items() if weight]
+
+    def learn(self, t: float, outcome: str, tool: str | None = None, is_read: bool = False) -> None:
+        """Take in how an attempt ended: allow, quarantine or block."""
+        if outcome == "block":
+            self.blocks.append(t)
+            return
+        if is_read:
+            self.read_at = t
+        if outcome == "allow":
+            self.tools.add(tool)
+            self.allowed += 1
+
     @classmethod
     def unpack(cls, t) -> State:
         tools, attempts, blocks, read_at, allowed, seen = t
         return cls(set(tools), deque(attempts, ATTEMPTS), deque(blocks, BLOCKS), read_at, allowed, seen)
 
 
-def alive(s: State, t: float, c: Config) -> State:
-    """The state at time t: a fresh one after too long a pause."""
-    if s.seen is not None and t - s.seen > c.profile_ttl_s:
-        s = State()
-    s.seen = t
-    return s
-
-
-def observe(s: State, t: float, tool: str, critical: bool, risky: bool, c: Config) -> tuple[float, list[str]]:
-    """Record an attempt and score it: noisy-or of the signals that fire."""
-    s.attempts.append(t)
-    fired = []
-    recent = sum(t - x <= c.rate_window_s for x in s.attempts)
-    if recent > c.rate_limit:
-        fired.append((min(0.6, 0.3 + 0.3 * (recent - c.rate_limit) / c.rate_limit), f"rate spike ({recent} in {c.rate_window_s:g} s)"))
-    if tool not in s.tools and s.allowed >= 3:
-        fired.append((0.25, f"novel tool for this agent ('{tool}')"))
-    if risky and s.read_at is not None and t - s.read_at <= c.sensitive_read_window_s:
-        fired.append((0.7, "sensitive read, then risky egress"))
-    if critical and s.allowed == 0:
-        fired.append((0.25, "first action is a critical tool"))
-    n = sum(t - x <= c.block_window_s for x in s.blocks)
-    if n:
-        fired.append((min(0.5, 0.2 * n), f"{n} recent policy blocks"))
-    keep = 1.0
-    for w, _ in fired:
-        keep *= 1.0 - w
-    return 1.0 - keep, [r for _, r in fired]
-
-
-def record_allow(s: State, t: float, tool: str, is_read: bool) -> None:
-    s.tools.add(tool)
-    s.allowed += 1
-    if is_read:
-        s.read_at = t
-
-
-def record_quarantined(s: State, t: float, is_read: bool) -> None:
-    if is_read:
-        s.read_at = t
-
-
-def record_block(s: State, t: float) -> None:
-    s.blocks.append(t)
-
-
 #: What the fold reads of a step, after agent_id.
 STEP_IN = ["ts", "request_id", "tool", "sens", "policy", "oversize", "inj", "risky", "base_rank", "is_read", "run"]
 STEP = ["ts", "request_id", "tool", "sens", "policy", "oversize", "inj", "clean", "risky", "base_rank", "is_read", "run"]
@@ -102,8 +91,8 @@ def step(s: State, row: dict, c: Config, enforce: bool = True) -> tuple[State, d
     if row["oversize"]:
         why.append("oversize input is blocked")
         if tool is not None:
-            s = alive(s, t, c)
-            record_block(s, t)
+            s = s.at(t, c)
+            s.learn(t, "block")
         return s, out
     if tool is None:
         verdict = "block" if inj >= th.injection_block else "sanitize" if inj >= th.injection_sanitize else "allow"
@@ -115,8 +104,8 @@ def step(s: State, row: dict, c: Config, enforce: bool = True) -> tuple[State, d
         verdict, forced = "quarantine", True
         why.append("trust below the floor")
     else:
-        s = alive(s, t, c)
-        anomaly, seen = observe(s, t, tool, sens == "critical", row["risky"], c)
+        s = s.at(t, c)
+        anomaly, seen = s.unusual(t, tool, sens == "critical", row["risky"], c)
         why += seen
         if inj >= th.injection_block or risky_level and inj >= th.injection_sanitize or risky_level and anomaly >= th.anomaly_block:
             verdict = "block"
@@ -138,8 +127,8 @@ def step(s: State, row: dict, c: Config, enforce: bool = True) -> tuple[State, d
             verdict = "block" if enforce else "allow"
     if verdict == "block":
         if tool is not None:
-            s = alive(s, t, c)
-            record_block(s, t)
+            s = s.at(t, c)
+            s.learn(t, "block")
         out["verdict"] = verdict
         return s, out
     if tool is None:
@@ -155,14 +144,11 @@ def step(s: State, row: dict, c: Config, enforce: bool = True) -> tuple[State, d
         verdict = verdict if verdict == "quarantine" else "block"
     out.update(verdict=verdict, allowed=run["ok"], executed=run["ok"], would_block=out["would_block"] or run["attempt"], exfil_attempt=run["attempt"], exfil_blocked=run["attempt"] and not run["leaked"], exfiltrated=run["leaked"])
     if verdict == "block":
-        s = alive(s, t, c)
-        record_block(s, t)
+        s = s.at(t, c)
+        s.learn(t, "block")
     elif run["ok"]:
-        s = alive(s, t, c)
-        if verdict == "allow":
-            record_allow(s, t, tool, row["is_read"])
-        else:
-            record_quarantined(s, t, row["is_read"])
+        s = s.at(t, c)
+        s.learn(t, verdict, tool, row["is_read"])
     return s, out
 
 
