@@ -160,6 +160,36 @@ TIER_CAPS = {
     "trusted": ("broad", "scratch", "full", [*_OWN_HOSTS, "partners.trusted-vendor.com"]),
 }
 
+# ---- anchors: of each group, every match of the pattern holds one of the words (in lower case) -----
+
+ANCHORS = {
+    "override": ["ignore disregard forget override bypass discard skip", "instruction prompt rule polic direction guardrail context"],
+    "role_tokens": ["im_ system assistant user developer inst"],
+    "new_policy": ["system instruction directive policy"],
+    "jailbreak": ["developer anything dan jailbreak unfiltered restriction bound guardrail roleplay pretend ignore"],
+    "exfil_verb": ["send post upload exfiltrate email e-mail transmit leak forward"],
+    "strong_exfil_verb": ["exfiltrate upload leak post"],
+    "tool_trigger": ["call invoke execute run trigger use", "tool function api command endpoint action transfer_funds exec_shell http_post send_email delete_file read_secret"],
+    "credential": ["key secret passw credential token ssn social credit env"],
+    "multilingual": ["ignor oubliez olvida dimentica vergiss negeer nao", "instru anweisungen reglas regole regeln regles preced anteriores vorherigen previous prior"],
+    "secrecy": ["tell reveal mention inform notify show silent hide keep between only"],
+    "coercion": ["approved already confirmation ask authoris"],
+    "payload": [
+        "reveal print show expose dump leak delete transfer disable bypass off grant approve forward curl",
+        "prompt instruction env secret api credential password file transfer guardrail moderation content safety security alignment admin wire payment message email conversation chat repl response curl",
+    ],
+}
+SCRUB_ANCHORS = [
+    ["ignore disregard forget override bypass discard", "instruction prompt rule polic context guidance direction guardrail"],
+    ["im_ system assistant developer"],
+    ["instruction rule policy system"],
+    ["developer anything dan jailbreak bound"],
+    ["send post upload exfiltrate email forward leak transmit", "key secret password token credential .env http"],
+    ["call invoke execute run trigger", "tool function api command"],
+]
+#: Signs that match an ASCII letter without regard to case, though lower() leaves or changes them otherwise.
+ODD_CASE = "\u0130\u0131\u017f\u212a"
+
 
 # ---- flags ----------------------------------------------------------------------------------------
 

@@ -9,10 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import lexicon as L, text as T
 
 
-def hit(name: str, view: Column) -> Column:
-    """Whether a pattern of the lexicon occurs."""
+def may_hit(anchors: list[str], low: Column) -> Column:
+    """Whether a text in lower case can match a pattern with these anchors: a search for plain words."""
+    groups = [reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in g.split()]) for g in anchors]
+    odd = [F.contains(low, F.lit(c)) for c in {*L.ODD_CASE, *"\u0130".lower()[1:]}]
+    return reduce(lambda a, b: a & b, groups) | reduce(lambda a, b: a | b, odd)
+
+
+def hit(name: str, view: Column, low: Column | None = None) -> Column:
+    """Whether a pattern of the lexicon occurs; low: the view in lower case, if it is at hand."""
     cased = name in L.CASED
-    return view.rlike(L.java(L.CASED[name] if cased else L.PATTERNS[name], cased))
+    found = view.rlike(L.java(L.CASED[name] if cased else L.PATTERNS[name], cased))
+    return found if low is None or name not in L.ANCHORS else may_hit(L.ANCHORS[name], low) & found
 
 
 def count(name: str, view: Column) -> Column:
@@ -51,11 +59,18 @@ def exfil_weight(view: Column) -> Column:
     return F.when(both, F.lit(strong)).when(one, F.lit(weak))
 
 
-def with_rules(df: DataFrame, raw: str, view: str, into: str, exfil: bool = True) -> DataFrame:
-    """Adds ``into``: fired rules as an array of (weight, name, description), in rule order."""
+def with_rules(df: DataFrame, raw: str, view: str, into: str, exfil: bool = True, anchored: bool = False) -> DataFrame:
+    """Adds ``into``: fired rules as an array of (weight, name, description), in rule order.
+
+    anchored: search for plain words before patterns, which is faster over whole texts and makes a
+    larger plan.
+    """
     names = ["override", "multilingual", "role_tokens", "new_policy", "jailbreak", "payload", "tool_trigger", "credential", "coercion", "secrecy", "exfil_verb"]
     flag = {n: f"_{into}_{n}" for n in names}
-    df = df.withColumns({c: hit(n, F.col(view)) for n, c in flag.items()})
+    low = f"_{into}_low"
+    if anchored:
+        df = df.withColumn(low, F.lower(view))
+    df = df.withColumns({c: hit(n, F.col(view), F.col(low) if anchored else None) for n, c in flag.items()}).drop(low)
     h = {n: F.col(c) for n, c in flag.items()}
     special = {
         "hidden_chars_raw": T.has_hidden(F.col(raw)),

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import lexicon as L, text as T
+from . import lexicon as L, rules as R, text as T
 
-#: One alternation of the scrubber's own patterns and those shared with the rules.
-MASTER = "|".join(f"(?:{p})" for p in [*L.SCRUB_OWN, *(L.PATTERNS[n] for n in L.SCRUB_SHARED)])
+#: The scrubber's own patterns and those shared with the rules, with their anchors; and all as one.
+EVERY = [*zip(L.SCRUB_OWN, L.SCRUB_ANCHORS), *((L.PATTERNS[n], L.ANCHORS[n]) for n in L.SCRUB_SHARED)]
+MASTER = "|".join(f"(?:{p})" for p, _ in EVERY)
 
 
-def _hit(view: Column) -> Column:
-    return view.rlike(L.java(MASTER))
+def _hit(view: Column, low: Column | None) -> Column:
+    """Whether one of the patterns occurs; with the view in lower case, only those are tried whose
+    anchors are there."""
+    if low is None:
+        return view.rlike(L.java(MASTER))
+    return reduce(lambda a, b: a | b, [R.may_hit(anchors, low) & view.rlike(L.java(p)) for p, anchors in EVERY])
 
 
-def scrub(df: DataFrame, column: str, into: str = "scrub", redaction: str = L.REDACTION) -> DataFrame:
+def scrub(df: DataFrame, column: str, into: str = "scrub", redaction: str = L.REDACTION, anchored: bool = True) -> DataFrame:
     """df with struct(text, removed_count, chars_removed, redactions, modified).
 
     The whole text is tried first; only texts with a match are split into lines.  The detection
-    view never joins lines, so the first test misses nothing.
+    view never joins lines, so the first test misses nothing.  anchored: search for plain words before
+    patterns, which is faster over whole texts and makes a larger plan.
     """
     df = df.withColumn("_canon", T.strip_invisible(F.coalesce(F.col(column), F.lit(""))))
     df = T.with_view(df, "_canon", "_view", squeeze=False)
     lines = F.split("_canon", "\n")
     views = F.split("_view", "\n")
-    pairs = F.zip_with(lines, views, lambda a, b: F.struct(a.alias("line"), (a.rlike(r"(?U)\S") & _hit(T.collapse(b))).alias("hit")))
-    df = df.withColumn("_lines", F.when(_hit(T.collapse(F.col("_view"))), pairs))
+    if anchored:
+        pairs = F.zip_with(lines, views, lambda a, b: F.struct(a.alias("line"), T.close_up(b).alias("view")))
+        pairs = F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), T.one_blank(x["view"]).alias("view")))
+        pairs = F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), x["view"].alias("view"), F.lower(x["view"]).alias("low")))
+        pairs = F.transform(pairs, lambda x: F.struct(x["line"].alias("line"), (x["line"].rlike(r"(?U)\S") & _hit(x["view"], x["low"])).alias("hit")))
+        df = T.with_collapsed(df, "_view", "_whole").withColumn("_low", F.lower("_whole"))
+    else:
+        pairs = F.zip_with(lines, views, lambda a, b: F.struct(a.alias("line"), (a.rlike(r"(?U)\S") & _hit(T.collapse(b), None)).alias("hit")))
+        df = df.withColumn("_whole", T.collapse(F.col("_view"))).withColumn("_low", F.lit(""))
+    df = df.withColumn("_any", _hit(F.col("_whole"), F.col("_low") if anchored else None)).drop("_whole", "_low")
+    df = df.withColumn("_lines", F.when(F.col("_any"), pairs)).drop("_any")
     df = df.withColumn("_gone", F.filter("_lines", lambda x: x["hit"]))
     df = df.withColumns({
         "_text": F.coalesce(F.array_join(F.transform("_lines", lambda x: F.when(x["hit"], F.lit(redaction)).otherwise(x["line"])), "\n"), F.col("_canon")),
@@ -40,5 +57,5 @@ def scrub(df: DataFrame, column: str, into: str = "scrub", redaction: str = L.RE
 def lines(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, line_no, line, hit): one row for each line."""
     rows = df.select(key, F.posexplode(F.split(T.strip_invisible(F.coalesce(F.col(column), F.lit(""))), "\n")).alias("line_no", "line"))
-    rows = T.with_view(rows, "line", "_view")
-    return rows.withColumn("hit", F.col("line").rlike(r"(?U)\S") & _hit(F.col("_view"))).drop("_view")
+    rows = T.with_view(rows, "line", "_view", guarded=True).withColumn("_low", F.lower("_view"))
+    return rows.withColumn("hit", F.col("line").rlike(r"(?U)\S") & _hit(F.col("_view"), F.col("_low"))).drop("_view", "_low")

@@ -18,6 +18,11 @@ def flat_args(args: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(args, lambda a: F.concat(a["k"], F.lit("="), F.coalesce(a["v"], F.lit("None")))), " "), F.lit(""))
 
 
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text holds other than ASCII signs."""
+    return F.octet_length(text) != F.length(text)
+
+
 def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(text, L.INVISIBLE, "")
 
@@ -31,32 +36,54 @@ def _fold(text: pd.Series) -> pd.Series:
     return text.map(L.normalize, na_action="ignore")
 
 
-def with_view(df: DataFrame, column: str, into: str, squeeze: bool = True) -> DataFrame:
+def with_view(df: DataFrame, column: str, into: str, squeeze: bool = True, guarded: bool = False) -> DataFrame:
     """Adds the detection view of a text column (``squeeze=False``: letter-spacing is left).
 
+    guarded: look for what is to be replaced first, which is faster over whole texts but makes a larger
+    plan.
+
     Texts whose signs all fold one to one stay in the JVM; only others reach the Arrow UDF, which
     gets null for the rest.  Each step is a column of its own, so nothing is computed twice.
     """
     bare, odd, rest = f"_{into}_bare", f"_{into}_odd", f"_{into}_rest"
     df = df.withColumn(bare, strip_invisible(F.col(column)))
     # what is left without ASCII and the simple signs; a character class of them would be slow
-    strange = F.translate(bare, "".join(L.SIMPLE), "").rlike(r"[^\x00-\x7F]")
-    df = df.withColumn(odd, F.when(F.col(bare).rlike(r"[^\x00-\x7F]"), F.when(strange, F.col(column))))
+    strange = F.translate(F.regexp_replace(bare, r"[\x00-\x7F]+", ""), "".join(L.SIMPLE), "") != ""
+    df = df.withColumn(odd, F.when(beyond_ascii(F.col(bare)), F.when(strange, F.col(column))))
     df = df.withColumn(rest, _fold(F.col(odd)))
-    simple = F.when(F.col(bare).rlike(r"[^\x00-\x7F]"), F.translate(bare, "".join(L.SIMPLE), "".join(L.SIMPLE.values()))).otherwise(F.col(bare))
+    simple = F.when(beyond_ascii(F.col(bare)), F.translate(bare, "".join(L.SIMPLE), "".join(L.SIMPLE.values()))).otherwise(F.col(bare))
     view = F.coalesce(F.col(rest), simple)
-    return df.withColumn(into, collapse(view) if squeeze else view).drop(bare, odd, rest)
+    if not squeeze:
+        return df.withColumn(into, view).drop(bare, odd, rest)
+    if not guarded:
+        return df.withColumn(into, collapse(view)).drop(bare, odd, rest)
+    raw = f"_{into}_raw"
+    return with_collapsed(df.withColumn(raw, view), raw, into).drop(raw, bare, odd, rest)
+
+
+def _closed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)(?:\b(?=(?:\w[ \t]){3,}\w\b)|(?!^)\G)(\w)(?: |(\t))(?=\w\b)", "$1$2")
 
 
 def collapse(text: Column) -> Column:
     """Undo letter-spacing, then squeeze blanks."""
-    text = F.regexp_replace(text, r"(?U)(?:\b(?=(?:\w[ \t]){3,}\w\b)|(?!^)\G)(\w)(?: |(\t))(?=\w\b)", "$1$2")
-    return F.regexp_replace(text, r"[ \t]{2,}", " ")
+    return F.regexp_replace(_closed(text), r"[ \t]{2,}", " ")
+
+
+def close_up(text: Column) -> Column:
+    """Undo letter-spacing; most texts have no single letters in a row."""
+    return F.when(text.rlike(r"\S[ \t]\S[ \t]\S[ \t]\S"), _closed(text)).otherwise(text)
+
+
+def one_blank(text: Column) -> Column:
+    """Squeeze blanks."""
+    return F.when(F.contains(text, F.lit("  ")) | F.contains(text, F.lit("\t")), F.regexp_replace(text, r"[ \t]{2,}", " ")).otherwise(text)
 
 
-def normalize_native(text: Column) -> Column:
-    """The detection view without the UDF, for texts whose signs fold one to one."""
-    return collapse(F.translate(strip_invisible(text), "".join(L.SIMPLE), "".join(L.SIMPLE.values())))
+def with_collapsed(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``collapse`` that looks first; a column for each step, as in with_view."""
+    close = f"_{into}_close"
+    return df.withColumn(close, close_up(F.col(column))).withColumn(into, one_blank(F.col(close))).drop(close)
 
 
 @F.pandas_udf(StringType())

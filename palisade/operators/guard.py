@@ -87,7 +87,7 @@ def steps(requests: DataFrame, c: Config | None = None, model=None, enforce: boo
     # the one shuffle: what follows needs an agent's rows together; contents stay behind, but for
     # those that may be scrubbed
     df = df.select("agent_id", "role", "source", *behavior.STEP_IN, "notes", "poisoned").repartition("agent_id")
-    df = C.scrub(df, "poisoned", "_scrub", c.redaction).withColumn("left", F.col("_scrub.text")).drop("_scrub", "poisoned")
+    df = C.scrub(df, "poisoned", "_scrub", c.redaction, anchored=False).withColumn("left", F.col("_scrub.text")).drop("_scrub", "poisoned")
     df = inspect(df, "left", F.col("source") != "user", "_again", model)
     clean = (F.col("_again.score") < th.injection_block) & (F.col("_again.rule") < th.injection_sanitize)
     return df.withColumn("clean", clean).drop("_again")

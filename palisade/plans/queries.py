@@ -70,7 +70,7 @@ def planted(spark, d) -> DataFrame:
 
 
 def viewed(spark, d) -> DataFrame:
-    return T.with_view(planted(spark, d), "content", "v")
+    return T.with_view(planted(spark, d), "content", "v", guarded=True)
 
 
 PLANTED = f"SELECT doc_id, coalesce(text, '') || chr(10) || {_list(PLANTS)}[CAST(doc_id % {len(PLANTS)} AS INT) + 1] AS content FROM documents"
@@ -216,7 +216,7 @@ RULED = _ruled(PLANTED)
 
 @_add(f"SELECT doc_id, round(rule, 6) AS rule_score FROM ({RULED}) u")
 def q_rule_score(spark, d):
-    df = R.with_rules(viewed(spark, d), "content", "v", "hits")
+    df = R.with_rules(viewed(spark, d), "content", "v", "hits", anchored=True)
     return df.select("doc_id", F.round(R.rule_score(F.col("hits")), 6).alias("rule_score"))
 
 
@@ -232,7 +232,7 @@ _FUSED = "CASE WHEN rule >= 0.3 AND rule < 0.85 THEN least(1.0, rule + 0.05) ELS
 @_add(f"SELECT doc_id, round(s, 6) AS score, s >= 0.3 AS is_injection, CASE WHEN s >= 0.8 THEN 'block' WHEN s >= 0.3 THEN 'sanitize' ELSE 'allow' END AS verdict FROM (SELECT doc_id, {_FUSED} AS s FROM ({RULED}) u) w")
 def q_fused_verdict(spark, d):
     """Every rule, and 0 for the learned score (q_fused_model has one)."""
-    df = R.with_rules(viewed(spark, d), "content", "v", "hits").withColumn("rule", R.rule_score(F.col("hits")))
+    df = R.with_rules(viewed(spark, d), "content", "v", "hits", anchored=True).withColumn("rule", R.rule_score(F.col("hits")))
     s = F.col("s")
     df = df.withColumn("s", R.fuse(F.lit(0.0), F.col("rule"), F.lit(True), ~F.col("content").rlike(r"(?U)\S")))
     return df.select("doc_id", F.round(s, 6).alias("score"), (s >= 0.3).alias("is_injection"), F.when(s >= 0.8, "block").when(s >= 0.3, "sanitize").otherwise("allow").alias("verdict"))

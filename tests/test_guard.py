@@ -204,3 +204,23 @@ def test_entry_without_training_operators(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert any(k.startswith("q_") for k in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_anchors_miss_nothing(spark):
+    """Patterns behind their anchors match where the patterns alone do, also with odd letter case."""
+    from palisade.functions import rules as R
+
+    rng = random.Random(3)
+    words = sorted({w for g in [*L.ANCHORS.values(), *L.SCRUB_ANCHORS] for x in g for w in x.split()})
+    words += "all the previous rules now you must never do not tell system: assistant prompt files everything DAN money turn off switch back up http $5 turn's on | sh".split()
+    odd = {"s": "ſ", "i": "ı", "k": "K", "I": "İ"}
+    texts = []
+    for _ in range(3000):
+        t = rng.choice([" ", " ", "\n", "-"]).join(rng.choice(words) for _ in range(rng.randint(1, 8)))
+        t = t.upper() if rng.random() < 0.2 else t.title() if rng.random() < 0.2 else t
+        texts.append("".join(odd.get(c, c) if rng.random() < 0.02 else c for c in t))
+    df = spark.createDataFrame([(t,) for t in texts], "v string").withColumn("low", C.F.lower("v"))
+    for name in L.ANCHORS:
+        assert df.where(R.hit(name, C.F.col("v")) != R.hit(name, C.F.col("v"), C.F.col("low"))).count() == 0, name
+        assert df.where(R.hit(name, C.F.col("v"))).count() > 0, name
+    assert df.where(C.F.col("v").rlike(L.java(C.MASTER)) != C._hit(C.F.col("v"), C.F.col("low"))).count() == 0
