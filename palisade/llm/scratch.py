@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 #: Spark deals rows to Arrow by number only unless this is set; long texts would make large batches.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-_made: list[tuple[SparkSession, str]] = []
+_made: list[tuple[SparkSession, str, str]] = []
+_owner = ""
 _local: dict[str, str] = {}
 
 
@@ -45,7 +47,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
+    _made.append((spark, path, _owner))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,16 +57,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release() -> None:
-    """Delete the tables kept so far; call it only when results made from them are stored."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception as e:  # the session may have ended
-            print(f"scratch table not deleted: {path}: {type(e).__name__}")
+@contextmanager
+def owned(owner: str):
+    """Tables kept inside belong to this owner; those that it kept before are deleted at the start.
+
+    Use it where the results made from the owner's earlier tables are stored by then.
+    """
+    global _owner
+    release(owner)
+    before, _owner = _owner, owner
+    try:
+        yield
+    finally:
+        _owner = before
+
+
+def release(owner: str) -> None:
+    """Delete the tables that an owner kept so far."""
+    for entry in [x for x in _made if x[2] == owner]:
+        _made.remove(entry)
+        spark, path, _ = entry
+        delete(spark, path.rsplit("/", 1)[0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception as e:  # the session may have ended
+        print(f"scratch table not deleted: {path}: {type(e).__name__}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

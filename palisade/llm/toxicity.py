@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import labels as lab, scratch
-from .words import IS_WORD, LOWER, Words, chunks, hash_spans, runs, text_buffer, words
+from .words import IS_WORD, LOWER, Words, chunks, hash_spans, runs, words
 
 #: Most labelled rows used, folds and the held-out one.
 BOUND, PARTS, HELD = 8000, 5, 0
@@ -324,13 +324,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that are not predicted toxic."""
+    """The rows of docs, with all their columns, that are not predicted toxic.
+
+    Null and empty texts are judged by the model like any other (they are kept unless most of the
+    labelled texts without words are toxic); repeated rows are all kept or all removed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in chunks(batches):
-            _, offsets = text_buffer(b.column(b.schema.get_field_index("text")))
             bad = shared.value.score(words(b.column(b.schema.get_field_index("text")))) >= 0.5
-            yield b.filter(pa.array(~bad | (np.diff(offsets) == 0)))
+            yield b.filter(pa.array(~bad))
 
     return docs.mapInArrow(run, docs.schema)
