@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
 reread as the next stage's docs.  All but the last return the columns of documents.
+
+Edge cases, in every stage: columns may be null and columns beside those of documents are carried
+along; an empty table gives an empty table.  Null and empty texts are not toxic (unless the labels
+say so of texts without words), are nobody's copy, hold no benchmark item, count no tokens in the mix
+and are written as the end id alone.  Repeated rows are copies, of which one stays.
 """
 
 from __future__ import annotations
@@ -12,33 +17,33 @@ from palisade.llm.registry import tokenizer_file
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the toxicity model rejects go."""
-    scratch.release()
-    model = toxicity.fit(docs, scratch.table(spark, sf_dir, "labels"))
-    return toxicity.remove_toxic(docs, model)
+    with scratch.owned("pipeline"):
+        model = toxicity.fit(docs, scratch.table(spark, sf_dir, "labels"))
+        return toxicity.remove_toxic(docs, model)
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies stays."""
-    scratch.release()
-    return jaccard_join.keep_one(docs)
+    with scratch.owned("pipeline"):
+        return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
-    scratch.release()
-    return decontaminate.remove_contaminated(docs, scratch.table(spark, sf_dir, "benchmark"))
+    with scratch.owned("pipeline"):
+        return decontaminate.remove_contaminated(docs, scratch.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark, docs, sf_dir):
     """Sources are mixed to the target weights; a row taken n times stands n times."""
-    scratch.release()
-    return mixing.apply_mix(docs)
+    with scratch.owned("pipeline"):
+        return mixing.apply_mix(docs)
 
 
 def write_token_ids(spark, docs, sf_dir):
     """Token ids are stored in patched frame-of-reference shards and read back."""
-    scratch.release()
-    return token_ids.store_and_digest(docs, tokenizer_file())
+    with scratch.owned("pipeline"):
+        return token_ids.store_and_digest(docs, tokenizer_file())
 
 
 STAGES = [
@@ -62,4 +67,6 @@ def run(spark, sf_dir):
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            scratch.delete(spark, f"{base}/{i - 1}")
     return docs
