@@ -213,7 +213,8 @@ def test_anchors_miss_nothing(spark):
     rng = random.Random(3)
     words = sorted({w for g in [*L.ANCHORS.values(), *L.SCRUB_ANCHORS] for x in g for w in x.split()})
     words += "all the previous rules now you must never do not tell system: assistant prompt files everything DAN money turn off switch back up http $5 turn's on | sh".split()
-    odd = {"s": "ſ", "i": "ı", "k": "K", "I": "İ"}
+    words += [t for v in generate.INJECTIONS.values() for t in v]
+    odd = {"s": "\u017f", "i": "\u0131", "k": "\u212a", "I": "\u0130"}
     texts = []
     for _ in range(3000):
         t = rng.choice([" ", " ", "\n", "-"]).join(rng.choice(words) for _ in range(rng.randint(1, 8)))
