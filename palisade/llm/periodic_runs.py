@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 LEAST, EXPONENT = 12, 2
 GRAM = LEAST - LEAST // EXPONENT
 #: Comparisons of one row's lags beyond which they are dealt out, and bytes that count as a word there.
-WORK, WORD_BYTES = 1 << 29, 4
+WORK, WORD_BYTES = 1 << 28, 4
 
 _RUNS = "array<struct<start:long,length:long,period:long>>"
 RESULT = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
