@@ -5,8 +5,8 @@ order, joined by an empty line; empty if none) and ``n_chars`` (code points) for
 
 Method.  A linear scanner splits the page into blocks at block-level tags, with the characters that
 stand in links and the elements around them.  Pass one decides blocks: those inside menus, asides,
-page headers, footers, forms, adverts, notices and comments (by element, role or class) and those
-made of links are boilerplate; long blocks rich in stop words are text.  Short blocks and those
+page headers, footers, forms, adverts, notices and comments (by element, role, or a class or id whose
+whole name says so) and, outside an article, those made of links are boilerplate; long blocks rich in stop words are text.  Short blocks and those
 poor in stop words stay ambiguous.  Pass two gives each ambiguous block the label of the nearest
 decided blocks of its own article (or, outside any, of the page); text wins a tie.  If an article
 or main element holds text, blocks outside it are boilerplate.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -51,21 +52,45 @@ SENTENCE = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav aside footer form menu dialog fieldset label head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+#: Names of classes and ids, of one word or more, that say what an element holds.
 BOILER_WORDS = frozenset(
-    """ad ads advert advertisement advertising adverts sponsor sponsored promo promotion nav navbar navigation menu menubar
-breadcrumb breadcrumbs sidebar aside widget footer masthead comment comments disqus respond reply replies cookie cookies
-consent gdpr notice notices banner popup modal overlay newsletter subscribe signup login share sharing social related
-recommended pagination pager toolbar skip hidden""".split()
+    """ad ads adsense advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion
+nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer masthead cookie cookies consent gdpr
+notice notices banner popup modal overlay newsletter subscribe subscription signup login sharing related recommended
+recommendations pagination pager toolbar""".split()
 )
+#: Those of reader comments; no article inside them is the page's.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond commentlist".split())
+#: Words that may stand before and after those above in one name; with any other word the name says something else.
+BEFORE = frozenset(
+    """site page post article entry blog main global top bottom left right header primary secondary js wp mobile desktop sticky
+fixed floating side inline user reader google dfp gpt your the block region section module component elementor-location""".split()
+)
+AFTER = frozenset(
+    """area author bar bars block blocks body bottom box button buttons btn column container count divider foot form heading
+icon icons inner item items label leaderboard link links list message messages meta module outer pane panel
+placeholder posts articles stories rectangle region row section slot slots space spot text thread title toggle top unit units wrap
+wrapper""".split()
+)
+#: Names that count as they stand only, as their words say other things elsewhere.
+WHOLE = frozenset(
+    """menu menubar main-menu nav-menu top-menu site-menu mobile-menu side-menu footer-menu menu-bar menu-toggle share social
+social-links social-share social-icons social-media social-media-links social-buttons share-buttons share-links share-bar
+share-this share-tools addtoany sharedaddy skip-link skip-links skip-to-content skip-to-main-content sr-only visually-hidden
+screen-reader-text is-hidden""".split()
+)
+#: Names that hide an element, unless another name of it shows it again at some width (md:block, d-lg-flex).
+HIDING = frozenset(("hidden", "d-none"))
 SCOPE = frozenset(("article", "main"))
-#: Words that make the rest of a class a state of a wrapper (has-sidebar, no-sidebar), not its content.
-STATES = frozenset("has no not with without is hide hides show shows".split())
-#: How an element holds boilerplate: by class or id or as a form, which a nested article overrides, or by element, role or hiding.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: How an element holds boilerplate: by class or id or as a form, which a nested article overrides, or by element, role, hiding or as comments.
 SOFT, HARD = 1, 2
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_SPLIT = re.compile(r"[\s_-]+")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[_-]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,6 +102,7 @@ class Block:
     link: int
     boiler: bool
     scope: int
+    element: str = ""
     label: bool | None = None
 
 
@@ -100,13 +126,37 @@ class _State:
         return name
 
 
-def _named(value: str) -> bool:
-    """Whether one of the names of a class or id value names boilerplate."""
-    for name in value.split():
-        parts = _SPLIT.split(name)
-        if not BOILER_WORDS.isdisjoint(parts) and STATES.isdisjoint(parts[:-1]):
-            return True
-    return False
+@lru_cache(4096)
+def _name_says(name: str) -> int:
+    """SOFT or HARD if one name of a class or id value names boilerplate, else 0.
+
+    The whole name has to say so: words that name boilerplate, with only words of place around them.
+    Modifiers (``block--left``) and elements of a named block (``footer__links``) follow their block.
+    """
+    block = name.split("--")[0].split("__")[0]
+    low = _CAMEL.sub("-", block).lower().replace("_", "-").strip("-")
+    if low in WHOLE:
+        return SOFT
+    words = [w for w in _SPLIT.split(low) if w and not w.isdigit()]
+    while len(words) > 1 and (words[0] in BEFORE or len(words[0]) == 1):
+        words = words[1:]
+    own = [w in BOILER_WORDS or w in COMMENT_WORDS for w in words]
+    if not words or not own[0] or not all(o or w in AFTER for o, w in zip(own, words)):
+        return 0
+    return HARD if any(w in COMMENT_WORDS for w in words) else SOFT
+
+
+def _named(value: str) -> int:
+    """SOFT or HARD if one of the names of a class or id value names or hides boilerplate, else 0."""
+    names = value.split()
+    found = max(map(_name_says, names), default=0)
+    hides = not HIDING.isdisjoint(names) and not any(":" in n or n.startswith("d-") and n != "d-none" for n in names)
+    return HARD if hides else found
+
+
+def _attrs(attrs: str) -> list[tuple[str, str]]:
+    """The attributes that are read, each with its own value."""
+    return [(k, v.strip("\"'")) for name, v in _ATTR.findall(attrs) if (k := name.lower()) in _READ]
 
 
 def _marked(name: str, attrs: str, in_scope: bool) -> int:
@@ -115,25 +165,24 @@ def _marked(name: str, attrs: str, in_scope: bool) -> int:
         return SOFT  # some pages stand in one form
     if name in BOILER or name == "header" and not in_scope:
         return HARD
-    if not attrs or name in ("html", "body") or name in SCOPE:
+    if not attrs or name in ("html", "body", "main"):
         return 0
     found = 0
-    for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
+    for key, value in _attrs(attrs):
+        if key in ("class", "id"):
+            found = max(found, _named(value))
+            continue
+        value = value.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             return HARD
         if key == "role" and value in BOILER_ROLES:
             return HARD
-        if key in ("class", "id") and _named(value):
-            found = SOFT
     return found
 
 
-def _opens(name: str, attrs: str, level: int, scope: int) -> bool:
-    """Whether an article or main element ends the mark that a wrapper's class set."""
-    if name not in SCOPE or level != SOFT or scope:
-        return False
-    return not any(k.lower() in ("class", "id") and _named(v.strip("\"'").lower()) for k, v in _ATTR.findall(attrs or ""))
+def _opens(name: str, level: int, own: int, scope: int) -> bool:
+    """Whether an article or main element without a mark of its own ends the mark that a wrapper's class set."""
+    return name in SCOPE and level == SOFT and not own and not scope
 
 
 def _flush(s: _State) -> None:
@@ -141,7 +190,7 @@ def _flush(s: _State) -> None:
         text = " ".join("".join(s.parts).split())
         if text:
             top = s.stack[-1] if s.stack else ("", 0, 0)
-            s.blocks.append(Block(text, s.link, top[1] > 0, top[2]))
+            s.blocks.append(Block(text, s.link, top[1] > 0, top[2], top[0]))
     s.parts, s.link, s.breaks = [], 0, 0
 
 
@@ -169,6 +218,11 @@ def blocks(page: str) -> list[Block]:
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
+        if page.startswith("<![CDATA[", lt) and (end := page.find("]]>", lt)) >= 0:
+            if not page[lt + 9 : end].isspace():
+                s.parts.append(page[lt + 9 : end])
+            at = end + 3
+            continue
         if page.startswith(("<!", "<?"), lt):
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
@@ -229,7 +283,7 @@ def blocks(page: str) -> list[Block]:
                     s.pop()
                     top = s.stack[-1] if s.stack else ("", 0, 0)
                 scope, level = top[2], max(top[1], boiler)
-                if _opens(name, attrs, level, scope):
+                if _opens(name, top[1], int(boiler), scope):
                     level = 0
                 if name in SCOPE:
                     scopes += 1
@@ -243,13 +297,16 @@ def decide(found: list[Block]) -> None:
     """Both passes; sets the labels."""
     for b in found:
         size = len(b.text)
-        if b.boiler or b.link > LINK_SHARE * size:
+        linked = not b.scope and b.link > LINK_SHARE * size  # an article's links are its own
+        if b.boiler or linked and b.element != "p" and b.element not in HEADINGS:
             b.label = False
         elif size >= LONG:
             w = _WORD.findall(b.text.lower())
             share = sum(x in STOP_WORDS for x in w) / max(len(w), 1)
             if share >= (STOP_SHARE_ARTICLE if b.scope else STOP_SHARE):
                 b.label = True
+        elif linked and b.element == "p":
+            b.label = False  # a short paragraph of links
     if any(b.label and b.scope for b in found):
         for b in found:
             if not b.scope:

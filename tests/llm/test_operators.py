@@ -398,6 +398,49 @@ def test_html_labelled_pages(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, html string").selectExpr("page_id", "cast(null as string) as url", "html")).collect()}
     assert got == {i: "\n\n".join(want) for i, (_, want) in enumerate(PAGES)}
 
+#: Classes of layout frameworks and of subjects around an article, and those of what is not its text.
+KEEPS = """container overflow-hidden|id=ad-hoc-queries|cookie-recipe|menu-of-the-week|share-price|social-sciences|hidden md:block|d-none d-lg-flex|site has-sidebar|content no-sidebar|layout--with-sidebar|
+col-md-8 col-sm-12|row gx-4|prose prose-lg mx-auto|entry-content clear|post-content|td-post-content|elementor-widget elementor-widget-text-editor|wp-block-group is-layout-flow|mw-parser-output|
+markdown-body|theme-doc-markdown markdown|rst-content|document body|gh-content gh-canvas|available-content|section-inner layoutSingleColumn|field field--name-body|node__content|is-8 column|
+large-8 cell|ant-layout-content|MuiContainer-root|v-main__wrap|flex flex-col items-center overflow-x-hidden|nav-open wrapper|sidebar-collapsed|js-no-comments|footer-is-below page|advanced-topics|adspecs|
+related-work-chapter|commentary|id=notice-of-the-king|login-history-of-unix|promotion-of-health|banner-of-war|navigation-at-sea|social-history|share-of-the-market|skip-generation""".replace("\n", "").split("|")
+DROPS = """ad|ads|ad-slot|ad-container|google-ad|gpt-ad-slot|adSlot|advert-box|advertisement|sponsored-links|site-footer|footer|footer__links|Footer_footer__3x2|page-footer|main-nav|nav-menu|main-menu|navbar navbar-expand-lg|
+breadcrumb|c-breadcrumbs|sidebar|sidebar--left|right-sidebar|widget widget_recent|cookie-banner|cookie-notice|id=cookieConsent|gdpr-message|newsletter-box|newsletter-signup|login-form|pagination|related-posts|
+recommended-articles|share-buttons|social-links|modal|popup-overlay|comments|comments-area|comment-list|id=comment-17|comment__body|id=disqus_thread|comment-respond|post-comments|skip-link|sr-only|hidden|d-none""".replace("\n", "").split("|")
+
+
+def test_html_class_names():
+    def marked(name, inner, tag="div"):
+        key, value = ("id", name[3:]) if name.startswith("id=") else ("class", name)
+        return f'<{tag} {key}="{value}">{inner}</{tag}>'
+
+    both = f"{A}\n\n{B}"
+    for name in KEEPS:
+        assert html_text.main_text(marked(name, f"<p>{A}</p><p>{B}</p>")) == both, name
+        assert html_text.main_text(f"<main><p>{A}</p>{marked(name, f'<p>{B}</p>')}</main>") == both, name
+        assert html_text.main_text(f"<body><p>{A}</p>{marked(name, f'<h2>{B}</h2>', 'section')}</body>") == both, name
+    for name in DROPS:
+        assert html_text.main_text(f"<main><p>{A}</p>{marked(name, f'<p>{B}</p>')}</main>") == A, name
+        assert html_text.main_text(f"<body><div><p>{A}</p></div>{marked(name, f'<p>{B}</p>', 'section')}</body>") == A, name
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<p title="hidden">{A}</p>', [A]), (f"<p data-x='class=\"ad\"' title=role>{A}</p>", [A]), (f'<article><p>{A}</p><p data-note="a > b" hidden=until-found>{B}</p></article>', [A]),
+        (f"<main><h2><a href=x>Headline</a></h2><p>{A}</p></main>", ["Headline", A]), (f"<h2><a href=x>Headline</a></h2><p>{A}</p>", ["Headline", A]),
+        (f"<main><p>{A}</p><p>See <a href=x>{B}</a></p></main>", [A, f"See {B}"]), (f"<div><p>{A}</p><p>See <a href=x>{B}</a></p></div>", [A, f"See {B}"]),
+        (f"<article><p>{A}</p><h3>References</h3><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul></article>", [A, "References", "First source", "Second source"]),
+        (f'<main><p>{A}</p><article class="comment"><p>{B}</p></article></main>', [A]), (f'<article><p>{A}</p></article><article class="comment" id="comment-3"><p>{B}</p></article>', [A]),
+        (f'<article><p>{A}</p></article><section class="comments"><article><p>{B}</p></article></section>', [A]), (f'<div class="comments"><main><p>{B}</p></main></div><p>{A}</p>', [A]),
+        (f"<p>{A} <![CDATA[ x > y ]]> end</p>", [f"{A} x > y end"]), (f"<p>{A}</p><![CDATA[ open", [A]), (f'<article class="post related-work"><p>{A}</p></article>', [A]),
+        (f'<div class="sidebar"><article><p>{A}</p></article></div>', [A]), (f'<body class="sidebar"><p>{A}</p></body>', [A]), (f'<main class="modal"><p>{A}</p></main>', [A]),
+        (f"<div><p>{A}</p></div><p><a href=a>One</a> | <a href=b>Two</a></p>", [A]),
+    ],
+)
+def test_html_attributes_links_and_comments(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
+
 
 def test_html_hostile_nesting_is_linear():
     import time
