@@ -24,7 +24,7 @@ def beyond_ascii(text: Column) -> Column:
 
 
 def strip_invisible(text: Column) -> Column:
-    return F.regexp_replace(text, L.INVISIBLE, "")
+    return F.when(beyond_ascii(text), F.regexp_replace(text, L.INVISIBLE, "")).otherwise(text)
 
 
 def has_hidden(text: Column) -> Column:

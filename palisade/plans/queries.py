@@ -357,7 +357,7 @@ def q_scrub_lines(spark, d):
 
 @_add(f"SELECT doc_id, string_agg(CASE WHEN hit THEN '{L.REDACTION}' ELSE line END, chr(10) ORDER BY line_no) AS text, CAST(sum(CAST(hit AS INT)) AS INT) AS removed_count, CAST(sum(CASE WHEN hit THEN length(line) ELSE 0 END) AS INT) AS chars_removed FROM ({_HITS}) x GROUP BY doc_id")
 def q_scrub(spark, d):
-    return C.scrub(planted(spark, d), "content").select("doc_id", "scrub.text", "scrub.removed_count", "scrub.chars_removed")
+    return C.scrub_reused(planted(spark, d), "content").select("doc_id", "scrub.text", "scrub.removed_count", "scrub.chars_removed")
 
 
 # ---- behaviour ----------------------------------------------------------------------------------------
