@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from . import ranks
+from .stored import once
 
 
 def counters(decisions: DataFrame) -> DataFrame:
@@ -24,12 +27,19 @@ def health(counts: DataFrame) -> DataFrame:
     return counts.agg((n("exfil_success") == 0).alias("ok"), n("requests").alias("requests"), rate.alias("error_rate"), n("verdict.block").alias("blocks"), n("exfil_attempts").alias("exfil_attempts"), n("exfil_success").alias("exfil_success"))
 
 
-def latency(df: DataFrame, key: str, value: str, order: list[str], last: int = 50_000) -> DataFrame:
-    """(key, count, mean, p50, p95, p99, max) over the last values of each key, interpolated."""
-    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
-    df = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last)
+def latency(df: DataFrame, key: str, value: str, order: list[str], last: int | None = 50_000) -> DataFrame:
+    """(key, count, mean, p50, p95, p99, max) over the last values of each key (None: all), interpolated.
+
+    The last rows are found in parts of a key first (``ranks.latest``); over all rows, percentiles come from
+    running counts (``ranks.quantiles``), so no task needs all rows of a key.
+    """
+    shares = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    if last is None:
+        rest = df.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("max")).withColumnRenamed(key, "_k")
+        got = ranks.quantiles(df, key, value, shares)
+        return got.join(rest, got[key].eqNullSafe(rest["_k"])).select(key, "count", "mean", *shares, "max")
     p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(key).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), p(0.50).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"))
+    return ranks.latest(df, key, order, last).groupBy(key).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), *(p(q).alias(n) for n, q in shares.items()), F.max(value).alias("max"))
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
@@ -45,12 +55,12 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFr
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the area under the ROC curve by rank sums; ties count half.
 
-    Scores are first counted per value, so the window runs over distinct scores (at most as many as
-    the scores' precision allows), not over rows.
+    Rows are counted by score; negatives below a score are a running sum over ranges of scores.
     """
     per = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("won", F.col("p") * (below + F.col("n") / 2)).agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+    placed = ranks.running_sum(per, "s", F.col("n"), "upto")
+    won = F.col("p") * (F.col("upto") - F.col("n") / 2)
+    return placed.agg((F.sum(won) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
 
 
 def threshold_scan(df: DataFrame, score: str, label: str, lo: float = 0.20, hi: float = 0.95, n: int = 151, limit: float = 0.005) -> DataFrame:
@@ -91,12 +101,14 @@ def zipf_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     Draws meet the cumulative weights in equal cells, so the join is on a cell, not on a range.
     """
     spark = df.sparkSession
-    pool = df.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1)
-    pool = pool.withColumn("_hi", F.sum(1 / (F.col("_i") + 1)).over(Window.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    total = pool.agg(F.max("_hi")).first()[0] or 1.0
+    pool = ranks.row_numbers(df, key, "_i")
+    # a row ends exactly where the next one begins: both are read from one running sum of whole numbers
+    unit = 1 << 40
+    weight = F.greatest(F.floor(F.lit(unit) / (F.col("_i") + 1)), F.lit(1)).cast("long")
+    pool = once(ranks.running_sum(pool, "_i", weight, "_hi").withColumn("_lo", F.col("_hi") - weight))
+    total = pool.agg(F.max("_hi")).first()[0] or 1
     cells = 4096
-    pool = pool.withColumn("_lo", F.col("_hi") - 1 / (F.col("_i") + 1))
     cell = lambda x: F.floor(x / F.lit(total) * cells).cast("int")
-    pool = pool.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
-    draws = spark.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / (1 << 40) * total).alias("u")).withColumn("_cell", cell(F.col("u")))
+    pool = pool.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1))))
+    draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("u")).withColumn("_cell", cell(F.col("u")))
     return draws.join(pool, "_cell").where("u >= _lo and u < _hi").drop("_cell", "_i", "_lo", "_hi", "u")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import egress as E, lexicon as L, rules as R, scrub as C, text as T
-from ..operators import behavior, guard, metrics, model, policy
+from ..operators import behavior, guard, metrics, model, policy, ranks
 from ..operators.policy import Config
 from ..sources import generate, requests, sinks
 from .fold_sql import fold_sql
@@ -518,6 +518,26 @@ def q_latency_stats(spark, d):
     return df.select("event_type", "count", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")), "max")
 
 
+@_add("SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY event_type")
+def q_latency_all(spark, d):
+    """The same over all rows of a type, without a limit."""
+    df = metrics.latency(table(spark, d, "events"), "event_type", "value", ["ts", "event_id"], last=None)
+    return df.select("event_type", "count", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")), "max")
+
+
+@_add(
+    f"""WITH pool AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+  placed AS (SELECT *, greatest(CAST(floor(1099511627776.0 / (i + 1)) AS BIGINT), 1) AS w FROM pool),
+  summed AS (SELECT *, sum(w) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS hi FROM placed)
+  SELECT o_orderkey, CAST(i AS BIGINT) AS place, CAST(hi AS BIGINT) AS weight_up_to FROM summed"""
+)
+def q_running_weights(spark, d):
+    """Places of all orders and their running Zipf weights."""
+    pool = ranks.row_numbers(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "place")
+    weight = F.greatest(F.floor(F.lit(1 << 40) / (F.col("place") + 1)), F.lit(1)).cast("long")
+    return ranks.running_sum(pool, "place", weight, "weight_up_to")
+
+
 #: Plants that ask for nothing bad.
 HARMLESS = (1, 5, 9, 14)
 
