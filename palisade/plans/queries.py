@@ -12,6 +12,7 @@ from ..functions import egress as E, lexicon as L, rules as R, scrub as C, text
 from ..operators import behavior, guard, metrics, model, policy, ranks
 from ..operators.policy import Config
 from ..sources import generate, requests, sinks
+from ..streaming import guard_stream
 from .fold_sql import fold_sql
 
 QUERIES: dict = {}
@@ -486,6 +487,18 @@ def q_tiers(spark, d):
     return metrics.tiers(guard.decide(stream(spark, d)))
 
 
+_MINUTE = f"60 * CAST(floor({_US} / 60000000) AS BIGINT)"
+
+
+@_add(f"SELECT {_MINUTE} AS minute, verdict, count(*) AS n FROM ({_sql_decided()}) x JOIN events ON request_id = printf('e%09d', event_id) GROUP BY ALL")
+def q_windowed_counts(spark, d):
+    """Verdicts by minute; the same function counts a stream."""
+    asked = stream(spark, d)
+    timed = asked.select("request_id", F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long")).alias("at"))
+    counts = guard_stream.windowed_counts(guard.decide(asked).join(timed, "request_id"), "at")
+    return counts.select(F.unix_seconds("window.start").alias("minute"), "verdict", "n")
+
+
 @_add()
 def q_by_kind(spark, d):
     w = generate.workload(spark, 2000)
