@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon as L
+from . import bands
 from .policy import Config
 
 #: Most attempts and blocks that are remembered of one agent.
@@ -183,13 +184,10 @@ def fold(steps: DataFrame, c: Config, enforce: bool = True, together: bool = Fal
 # ---- parts of the fold that need no feedback, as plain windows ---------------------------------------
 
 
-def in_window(df: DataFrame, key: str, ts: str, seconds: float, value=None, into: str = "recent") -> DataFrame:
-    """Adds how many rows of the key (or the latest ``value``) lie in the seconds up to a row."""
-    from pyspark.sql import Window
-
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-int(seconds * 1_000_000), 0)
-    return df.withColumn(into, F.count("*").over(w) if value is None else F.max(value).over(w))
+def in_window(df: DataFrame, key: str, ts: str, seconds: float, weight=None, into: str = "recent") -> DataFrame:
+    """Adds how many rows of the key lie in the seconds up to a row, or the sum of their weights."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return bands.active_sum(df.withColumn("_us", us), key, "_us", seconds, F.lit(1) if weight is None else weight, into).drop("_us")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap: float, tie: str) -> DataFrame:

@@ -6,10 +6,10 @@ template; tool calls come from ``events``.  Nothing is filtered or sampled to ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import egress as E, lexicon as L, rules as R, scrub as C, text as T
-from ..operators import behavior, guard, metrics, model, policy, ranks
+from ..operators import bands, behavior, guard, metrics, model, policy, ranks
 from ..operators.policy import Config
 from ..sources import generate, requests, sinks
 from ..streaming import guard_stream
@@ -383,24 +383,33 @@ _READS = ", ".join(repr(t) for t in L.READ_TOOLS)
 @_add(f"SELECT event_id, recent, CAST(round(CASE WHEN recent > 20 THEN least(0.6, 0.3 + 0.3 * (recent - 20) / 20) ELSE 0 END, 9) AS DOUBLE) AS weight FROM (SELECT event_id, count(*) OVER {_WITHIN(1)} AS recent FROM events) t")
 def q_rate_window(spark, d):
     c, n = Config(), F.col("recent")
-    df = behavior.in_window(pressed(table(spark, d, "events")), "agent", "at", c.rate_window_s)
+    df = behavior.in_window(pressed(table(spark, d, "events")).select("event_id", "agent", "at"), "agent", "at", c.rate_window_s)
     weight = F.when(n > c.rate_limit, F.least(F.lit(0.6), 0.3 + 0.3 * (n - c.rate_limit) / c.rate_limit)).otherwise(0.0)
     return df.select("event_id", "recent", F.round(weight, 9).alias("weight"))
 
 
 @_add(f"SELECT event_id, is_egress AND (secret OR len(ext) > 0) AND coalesce(max(CASE WHEN tool IN ({_READS}) THEN event_id END) OVER {_WITHIN(300)}, -1) >= 0 AS read_then_send FROM ({OUTBOUND}) t")
 def q_read_then_exfil(spark, d):
-    read = F.when(F.col("tool").isin(L.READ_TOOLS), F.col("event_id"))
-    df = behavior.in_window(pressed(outbound(spark, d)), "agent", "at", Config().sensitive_read_window_s, read, "read")
+    """A send is met with the agent's latest sensitive read, if that is recent enough."""
+    df = pressed(outbound(spark, d))
+    reads = df.where(F.col("tool").isin(L.READ_TOOLS)).select("agent", "us", F.col("event_id").alias("read"))
+    df = bands.as_of(df.select("event_id", "agent", "us", "is_egress", "secret", "ext"), reads, "agent", "us", "us", Config().sensitive_read_window_s, ["read"])
     return df.select("event_id", (F.col("is_egress") & (F.col("secret") | (F.size("ext") > 0)) & F.col("read").isNotNull()).alias("read_then_send"))
 
 
 @_add(f"SELECT event_id, blocks, CAST(round(least(0.5, 0.2 * blocks), 9) AS DOUBLE) AS weight FROM (SELECT event_id, CAST(sum(CASE WHEN policy = 'hard' THEN 1 ELSE 0 END) OVER {_WITHIN(60)} AS BIGINT) AS blocks FROM ({POLICY}) t) u")
 def q_recent_blocks(spark, d):
     df = pressed(policy.with_policy(calls(spark, d), Config()))
-    w = Window.partitionBy("agent").orderBy("us").rangeBetween(-int(Config().block_window_s * 1_000_000), 0)
-    df = df.select("event_id", F.sum(F.when(F.col("policy") == "hard", 1).otherwise(0)).over(w).alias("blocks"))
-    return df.withColumn("weight", F.round(F.least(F.lit(0.5), 0.2 * F.col("blocks")), 9))
+    df = behavior.in_window(df.select("event_id", "agent", "at", "policy"), "agent", "at", Config().block_window_s, (F.col("policy") == "hard").cast("int"), "blocks")
+    return df.select("event_id", "blocks", F.round(F.least(F.lit(0.5), 0.2 * F.col("blocks")), 9).alias("weight"))
+
+
+@_add(f"SELECT c.event_id, b.event_id AS after FROM (SELECT event_id, user_id % {AGENTS} AS agent, {_US} AS us FROM events) c JOIN (SELECT event_id, user_id % {AGENTS} AS agent, {_US} AS us FROM ({POLICY}) p WHERE policy = 'hard') b ON c.agent = b.agent AND c.us BETWEEN b.us + 1 AND b.us + 100000")
+def q_calls_after_block(spark, d):
+    """Every call of an agent within a tenth of a second after a call that was forbidden."""
+    df = pressed(policy.with_policy(calls(spark, d), Config())).select("event_id", "agent", "us", "policy")
+    after = df.where("policy = 'hard'").select(F.col("event_id").alias("after"), "agent", (F.col("us") + 1).alias("start"), (F.col("us") + 100_000).alias("end"))
+    return bands.interval_join(df.drop("policy"), after, "agent", "us", "start", "end", 0.1).select("event_id", "after")
 
 
 @_add("SELECT event_id, CAST(sum(CASE WHEN ts - lag > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lag FROM events) t")
