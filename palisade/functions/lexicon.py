@@ -34,9 +34,9 @@ CASED = {
     "delimiter": r"(```|-----+|=====+|~~~~+|<!--|-->|\*\*\*+|___+)",
 }
 #: Invisible signs: all that are removed, and those whose presence is suspicious (no soft hyphen).
-INVISIBLE = "[­؜᠎​-‏‪-‮⁠-⁤⁦-⁩﻿]"
-HIDDEN = "[؜᠎​-‏‪-‮⁠-⁤⁦-⁩﻿]"
-EGRESS_INVISIBLE = "[​‌‍⁠﻿­]"
+INVISIBLE = "[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
+HIDDEN = "[\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
+EGRESS_INVISIBLE = "[\u200b\u200c\u200d\u2060\ufeff\u00ad]"
 SPACED = r"(?:\b\w[ \t]){3,}\w\b"
 #: Letters that look like Latin ones.
 CONFUSABLES = {
