@@ -10,6 +10,9 @@ an unknown source, a blank tool) are blocked with an ``error``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import egress as E, lexicon as L, rules as R, scrub as C, text as T
@@ -57,11 +60,32 @@ def inspect(df: DataFrame, column: str, untrusted, into: str, model=None) -> Dat
     return df.drop(view, hits, *(f"_{into}_{x}" for x in "psfg"))
 
 
-def steps(requests: DataFrame, c: Config | None = None, model=None, enforce: bool = True) -> DataFrame:
+def _scrubbed(df: DataFrame, column: str, into: str, redaction: str) -> DataFrame:
+    return C.scrub(df, column, into, redaction, anchored=False)
+
+
+@dataclass(frozen=True)
+class Parts:
+    """The guard's replaceable parts; each is a function of DataFrames or columns.
+
+    inspect(df, column, untrusted, into, model) adds struct(score, rule, is_injection, signals);
+    scrub(df, column, into, redaction) adds a struct with ``text``; route(trust, sens, is_egress, is_write)
+    is the tier's rank before risk counts; clock is the time of a request in seconds; emit takes the
+    decisions and returns what ``decide`` returns, such as audit records.
+    """
+
+    inspect: Callable = inspect
+    scrub: Callable = _scrubbed
+    route: Callable = policy.tier_rank
+    clock: Callable = lambda: F.col("ts")
+    emit: Callable = lambda decisions: decisions
+
+
+def steps(requests: DataFrame, c: Config | None = None, model=None, enforce: bool = True, parts: Parts | None = None) -> DataFrame:
     """All columns that the behaviour fold and the final projection read."""
-    c = c or Config()
+    c, parts = c or Config(), parts or Parts()
     th = c.thresholds
-    df = checked(requests).where("error is null")
+    df = checked(requests.withColumn("ts", parts.clock().cast("double"))).where("error is null")
     df = policy.with_policy(df, c)
     df = df.withColumn("flat", T.flat_args(F.col("args")))
     too_long = F.length("content") > c.max_content_length
@@ -69,15 +93,15 @@ def steps(requests: DataFrame, c: Config | None = None, model=None, enforce: boo
     df = df.withColumn("_content", F.when(too_long, F.lit("")).otherwise(F.col("content")))
     df = df.withColumn("_args", F.when(F.col("oversize") | F.col("tool").isNull(), F.lit("")).otherwise(F.col("flat")))
     untrusted = F.col("source") != "user"
-    df = inspect(df, "_content", untrusted, "san", model)
-    df = inspect(df, "_args", F.lit(True), "arg", model)
+    df = parts.inspect(df, "_content", untrusted, "san", model)
+    df = parts.inspect(df, "_args", F.lit(True), "arg", model)
     df = df.withColumn("inj", F.greatest("san.score", "arg.score"))
     # what scrubbing the content would leave, for the verdicts that ask for it
     maybe = (F.col("inj") >= th.injection_sanitize) & (F.col("inj") < th.injection_block)
     df = df.withColumn("poisoned", F.when(maybe, F.col("_content")).otherwise(F.lit("")))
     df = E.with_facts(df, "args", c.secret_patterns, c.known_bad_destinations, c.internal_domains)
     df = df.withColumn("risky", F.col("is_egress") & (F.col("secret") | (F.size("ext") > 0)))
-    df = df.withColumn("base_rank", policy.tier_rank(F.col("trust"), F.col("sens"), F.col("is_egress"), F.col("is_write")))
+    df = df.withColumn("base_rank", parts.route(F.col("trust"), F.col("sens"), F.col("is_egress"), F.col("is_write")))
     for i, t in enumerate(L.TIERS):
         df = E.with_execution(df, i, c.tier_caps[t], f"_run{i}", enforce)
     df = df.withColumn("run", F.array(*(F.col(f"_run{i}") for i in range(4))))
@@ -87,8 +111,8 @@ def steps(requests: DataFrame, c: Config | None = None, model=None, enforce: boo
     # the one shuffle: what follows needs an agent's rows together; contents stay behind, but for
     # those that may be scrubbed
     df = df.select("agent_id", "role", "source", *behavior.STEP_IN, "notes", "poisoned").repartition("agent_id")
-    df = C.scrub(df, "poisoned", "_scrub", c.redaction, anchored=False).withColumn("left", F.col("_scrub.text")).drop("_scrub", "poisoned")
-    df = inspect(df, "left", F.col("source") != "user", "_again", model)
+    df = parts.scrub(df, "poisoned", "_scrub", c.redaction).withColumn("left", F.col("_scrub.text")).drop("_scrub", "poisoned")
+    df = parts.inspect(df, "left", F.col("source") != "user", "_again", model)
     clean = (F.col("_again.score") < th.injection_block) & (F.col("_again.rule") < th.injection_sanitize)
     return df.withColumn("clean", clean).drop("_again")
 
@@ -111,8 +135,8 @@ def _refused(df: DataFrame) -> DataFrame:
     )
 
 
-def decide(requests: DataFrame, c: Config | None = None, model=None, enforce: bool = True) -> DataFrame:
+def decide(requests: DataFrame, c: Config | None = None, model=None, enforce: bool = True, parts: Parts | None = None) -> DataFrame:
     """A decision for every request; one shuffle, no join but with the policy's dimensions."""
-    c = c or Config()
-    made = behavior.fold(steps(requests, c, model, enforce), c, enforce, together=True)
-    return _project(made).unionByName(_refused(checked(requests)))
+    c, parts = c or Config(), parts or Parts()
+    made = behavior.fold(steps(requests, c, model, enforce, parts), c, enforce, together=True)
+    return parts.emit(_project(made).unionByName(_refused(checked(requests.withColumn("ts", parts.clock().cast("double"))))))

@@ -84,6 +84,30 @@ def by_kind(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     return decisions.join(labels, "request_id").groupBy("kind").agg(F.sum(F.col("executed").cast("long")).alias("executed"), F.count("*").alias("total")).withColumn("share", F.col("executed") / F.col("total"))
 
 
+def arms_by_kind(protected: DataFrame, watched: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(kind, total, protected, watched, utility, reduction): calls that ran under a guard that enforces and one
+    that only watches.
+
+    utility: the share of a kind that still runs; reduction: the share of what ran unprotected that no longer does.
+    """
+    arm = lambda df, name: df.select("request_id", F.lit(name).alias("arm"), F.col("executed").cast("long").alias("ran"))
+    rows = arm(protected, "protected").unionByName(arm(watched, "watched")).join(kinds.select("request_id", "kind"), "request_id")
+    per = rows.groupBy("kind").pivot("arm", ["protected", "watched"]).agg(F.sum("ran").alias("ran"), F.count("ran").alias("total"))
+    p, w = F.col("protected_ran"), F.col("watched_ran")
+    return per.select("kind", F.col("protected_total").alias("total"), p.alias("protected"), w.alias("watched"), (p / F.col("protected_total")).alias("utility"), (1 - p / F.nullif(w, F.lit(0))).alias("reduction"))
+
+
+def agents(df: DataFrame, key: str, agent: str, part: str) -> DataFrame:
+    """(key, exact, estimate): distinct agents by key, counted and from sketches of each part that are merged.
+
+    The sketches (a few kilobytes each) can be kept by part and merged later without the rows.
+    """
+    sketches = df.groupBy(key, part).agg(F.hll_sketch_agg(F.col(agent).cast("string"), F.lit(12)).alias("sketch"))
+    merged = sketches.groupBy(key).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")).withColumnRenamed(key, "_k")
+    exact = df.groupBy(key).agg(F.count_distinct(agent).alias("exact"))
+    return exact.join(merged, exact[key].eqNullSafe(merged["_k"])).select(key, "exact", "estimate")
+
+
 def tiers(decisions: DataFrame) -> DataFrame:
     """(tier, n) of routed requests."""
     return decisions.where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"))

@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as L, rules as R, text as T
+from . import metrics, ranks
 from .policy import ModelIntegrityError
+from .stored import once
 
 #: Buckets of words and of character runs, the inverse strength of the penalty, iterations.
 WORD_BUCKETS, CHAR_BUCKETS, C, ITERATIONS = 1 << 16, 1 << 14, 4.0, 100
@@ -51,10 +53,38 @@ def pipeline(n_rows: int) -> Pipeline:
     return Pipeline(stages=[*stages, every, fit])
 
 
+#: Rows of a task of the fit: an iteration over fewer is all overhead.
+FIT_ROWS = 20_000
+
+
 def train(samples: DataFrame, text: str = "text") -> PipelineModel:
-    """Fit on rows (text, label)."""
+    """Fit on rows (text, label).  Features are made once and kept; iterations read them."""
     rows = prepare(samples.select(F.col(text).alias("text"), F.col("label").cast("double").alias("label")), "text")
-    return pipeline(samples.count()).fit(rows)
+    n = samples.count()
+    *shape, fit = pipeline(n).getStages()
+    for stage in shape:
+        rows = stage.transform(rows)
+    kept = once(rows.select("label", fit.getFeaturesCol()))
+    return PipelineModel(stages=[*shape, fit.fit(once(kept.coalesce(1 + n // FIT_ROWS)))])
+
+
+def train_and_choose(samples: DataFrame, validation: float = 0.2) -> PipelineModel:
+    """Fit on four fifths of (id, text, label); the threshold comes from the rest.
+
+    The rest is the last fifth in an order by a hash of the id.  The threshold is the least one whose share of
+    false alarms there is within the limit (``metrics.threshold_scan``), and is kept in the model.
+    """
+    rows = ranks.row_numbers(samples.withColumn("_h", F.xxhash64("id", F.lit(77))), ["_h", "id"], "_place")
+    rows = once(rows.select("text", "label", "_place"))
+    cut = int(rows.count() * (1 - validation))
+    model = train(rows.where(F.col("_place") < cut))
+    tried = scorer(model)(rows.where(F.col("_place") >= cut), "text", "p")
+    model.stages[-1].setThreshold(metrics.threshold_scan(tried, "p", "label").first().threshold)
+    return model
+
+
+def threshold(model: PipelineModel) -> float:
+    return model.stages[-1].getThreshold()
 
 
 def scorer(model: PipelineModel):
@@ -106,11 +136,122 @@ def load(spark: SparkSession, path: str) -> PipelineModel:
     return model
 
 
-def leave_one_family_out(spark: SparkSession, samples: DataFrame, families: list[str], threshold: float = 0.30) -> DataFrame:
-    """(family, detection): each family scored by a model that never saw it."""
-    rows = []
-    for f in families:
-        m = train(samples.where(F.col("family") != f))
-        got = scorer(m)(samples.where(F.col("family") == f), "text", "p").agg(F.avg((F.col("p") >= threshold).cast("double"))).first()[0]
-        rows.append((f, float(got or 0.0)))
-    return spark.createDataFrame(rows, "family string, detection double")
+# ---- one model for a session, kept by what it was trained on ---------------------------------------------
+
+_models: dict[tuple[str, str], PipelineModel] = {}
+
+
+def sample_key(samples: DataFrame) -> str:
+    """What a model depends on: all rows (id, text, label), in any order, and the parameters."""
+    import hashlib
+
+    h = F.xxhash64("id", "text", "label")
+    r = samples.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("s")).first()
+    return hashlib.sha256(repr((r.n, r.x, r.s, WORD_BUCKETS, CHAR_BUCKETS, C, ITERATIONS)).encode()).hexdigest()[:24]
+
+
+def cached(samples: DataFrame, folder: str | None = None, retrain: bool = True) -> PipelineModel:
+    """The model of these samples: of this session, else stored in ``folder``, else trained (and stored).
+
+    A stored model that is missing, altered, of another size or without a manifest is trained anew, or, with
+    ``retrain=False``, refused (ModelIntegrityError).
+    """
+    spark = samples.sparkSession
+    key = sample_key(samples)
+    known = (spark.sparkContext.applicationId, f"{folder}/{key}")
+    if known in _models:
+        return _models[known]
+    path = folder and f"{folder.rstrip('/')}/{key}"
+    try:
+        if not path:
+            raise ModelIntegrityError("no folder of models is given")
+        model = load(spark, path)
+    except ModelIntegrityError:
+        if path and not retrain:
+            raise
+        model = train_and_choose(samples)
+        if path:
+            save(spark, model, path)
+    _models[known] = model
+    return model
+
+
+# ---- families that a model never saw ---------------------------------------------------------------------
+
+
+def fit_sparse(indices: list, values: list, labels, size: int, c: float = C, steps: int = 25):
+    """Weights and intercept of L2 logistic regression on sparse rows, by Newton steps with conjugate gradients."""
+    import numpy as np
+
+    rows = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
+    cols, vals, y = np.concatenate(indices).astype(np.int64), np.concatenate(values), np.asarray(labels, float)
+    n, w = len(indices), np.zeros(size + 1)
+    penalty = np.append(np.ones(size), 0.0) / c
+
+    def times(v):
+        return np.bincount(rows, vals * v[cols], n) + v[size]
+
+    def back(r):
+        return np.append(np.bincount(cols, vals * r[rows], size), r.sum())
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-times(w)))
+        gradient = back(p - y) + penalty * w
+        if np.abs(gradient).max() < 1e-4:
+            break
+        curve, step = p * (1 - p) + 1e-9, np.zeros(size + 1)
+        residual = -gradient
+        d, rr = residual.copy(), residual @ residual
+        stop = rr * 1e-4
+        for _ in range(60):
+            hd = back(curve * times(d)) + penalty * d
+            a = rr / (d @ hd)
+            step, residual = step + a * d, residual - a * hd
+            new = residual @ residual
+            if new < stop:
+                break
+            d, rr = residual + new / rr * d, new
+        w = w + step
+    return w[:size], w[size]
+
+
+def leave_one_family_out(samples: DataFrame, families: list[str], cut: float = 0.30, most: int = 4000) -> DataFrame:
+    """(family, n, detection): the share of a family's rows found by a model that never saw the family.
+
+    One job: features are made once, a row goes to the model of every other family, and each family's model
+    is fitted in a task of its own on at most ``most`` rows (the least by a hash; a bounded sample for the
+    classifier).  All rows of the family itself are scored.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = prepare(samples.select("id", "text", "label", "family"), "text")
+    *shape, _ = pipeline(1).getStages()
+    for stage in shape:
+        rows = stage.transform(rows)
+    size = WORD_BUCKETS + CHAR_BUCKETS + len(L.FEATURES)
+    x = F.unwrap_udt("_x")
+    dense = F.sequence(F.lit(0), F.size(x["values"]) - 1)
+    rows = once(rows.select("id", "label", "family", F.coalesce(x["indices"], dense).alias("at"), x["values"].alias("v")))
+    every = rows.withColumn("fold", F.explode(F.array(*map(F.lit, families)))).withColumn("seen", F.col("fold") != F.col("family"))
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64("id", F.lit(5)), "id"))
+    fit = every.where("seen").withColumn("_n", place).where(F.col("_n") <= most).groupBy("fold")
+
+    def weights(frame: pd.DataFrame) -> pd.DataFrame:
+        w, b = fit_sparse(frame["at"].tolist(), frame["v"].tolist(), frame["label"], size)
+        used = np.flatnonzero(w)
+        return pd.DataFrame({"fold": pd.Series([frame["fold"].iloc[0]], dtype=object), "used": [used], "w": [w[used]], "b": [b]})
+
+    def score(key, mine: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros(size)
+        if len(own):
+            w[own["used"].iloc[0]] = own["w"].iloc[0]
+        z = [v @ w[i] + (own["b"].iloc[0] if len(own) else -np.inf) for i, v in zip(mine["at"], mine["v"])]
+        found = (1 / (1 + np.exp(-np.array(z, float))) >= cut).sum()
+        return pd.DataFrame({"family": pd.Series([key[0]], dtype=object), "n": [len(mine)], "hits": [int(found)]})
+
+    made = fit.applyInPandas(weights, "fold string, used array<long>, w array<double>, b double")
+    left = every.where(~F.col("seen")).select("fold", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"), "at", "v")
+    right = made.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    got = left.groupBy("fold", "salt").cogroup(right.groupBy("fold", "salt")).applyInPandas(score, "family string, n long, hits long")
+    return got.where("n > 0").groupBy("family").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("detection"))
