@@ -60,6 +60,8 @@ def scrub(df: DataFrame, column: str, into: str = "scrub", redaction: str = L.RE
 #: Distinct lines or texts with a hit up to which they are broadcast (about 16 bytes, and a few for each
 #: line that goes); beyond that the lines meet them in a join salted into so many parts.
 BROADCAST, SALTS = 1 << 20, 32
+#: Distinct lines with a hit whose keys are written into the plan; texts are then read once more and never moved.
+IN_PLAN = 1000
 
 
 def _key(text: Column, into: str) -> dict[str, Column]:
@@ -90,19 +92,40 @@ def _meet(rows: DataFrame, hits: DataFrame, n: int, how: str, salt: Column) -> D
     return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(parts, ["_l1", "_l2", "_salt"], how).drop("_salt")
 
 
+def _cut_in_place(df: DataFrame, keys: list[tuple[int, int]], into: str, redaction: str) -> DataFrame:
+    """Cuts the lines of ``_canon`` whose keys are given; no shuffle."""
+    one, two = ([k[i] for k in keys] for i in (0, 1))
+
+    def hit(line):
+        k = _key(line, "k")
+        return k["k1"].isin(one) & k["k2"].isin(two) if keys else F.lit(False)
+
+    df = df.withColumn("_lines", F.transform(F.split("_canon", "\n"), lambda x: F.struct(x.alias("line"), hit(x).alias("hit"))))
+    df = df.withColumns({
+        "_gone": F.transform(F.filter("_lines", lambda x: x["hit"]), lambda x: x["line"]),
+        "_text": F.array_join(F.transform("_lines", lambda x: F.when(x["hit"], F.lit(redaction)).otherwise(x["line"])), "\n"),
+    })
+    chars = F.aggregate("_gone", F.lit(0), lambda a, x: a + F.length(x))
+    out = F.struct(F.col("_text").alias("text"), F.size("_gone").alias("removed_count"), chars.alias("chars_removed"), F.col("_gone").alias("redactions"), (F.size("_gone") > 0).alias("modified"))
+    return df.withColumn(into, out).drop("_canon", "_lines", "_gone", "_text")
+
+
 def scrub_reused(df: DataFrame, column: str, into: str = "scrub", redaction: str = L.REDACTION) -> DataFrame:
     """What :func:`scrub` gives, with every distinct line judged once.
 
-    Three readings of the texts: distinct lines are judged; texts look up which of their lines have a hit
-    (by 128-bit keys); texts with a hit get their lines cut.  Texts are shuffled in the last step only
-    where more than BROADCAST distinct ones have a hit.
+    Distinct lines are judged first.  If at most IN_PLAN of them have a hit, texts are read once more and cut
+    where they lie.  Else texts look up which of their lines have a hit (by 128-bit keys), and those with
+    a hit get their lines cut; texts are shuffled only where more than BROADCAST / 8 distinct ones have a hit.
     """
     df = df.withColumn("_canon", T.strip_invisible(F.coalesce(F.col(column), F.lit(""))))
     hits = once(judged(df, "_canon").where("hit").select(*(c.alias(k) for k, c in _key(F.col("line"), "_l").items())))
+    n = hits.count()
+    if n <= IN_PLAN:
+        return _cut_in_place(df, [(r["_l1"], r["_l2"]) for r in hits.collect()], into, redaction)
     keyed = df.withColumns(_key(F.col("_canon"), "_t"))
     rows = keyed.select("_t1", "_t2", F.posexplode(F.split("_canon", "\n")).alias("_no", "_line"))
     rows = rows.select("_t1", "_t2", "_no", *(c.alias(k) for k, c in _key(F.col("_line"), "_l").items()))
-    found = _meet(rows, hits, hits.count(), "left_semi", F.xxhash64("_t1", "_no"))
+    found = _meet(rows, hits, n, "left_semi", F.xxhash64("_t1", "_no"))
     # copies of a text share one row here
     found = once(found.groupBy("_t1", "_t2").agg(F.sort_array(F.collect_set("_no")).alias("_cut")))
     df = keyed.join(F.broadcast(found) if found.count() <= BROADCAST // 8 else found, ["_t1", "_t2"], "left").drop("_t1", "_t2")

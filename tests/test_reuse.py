@@ -15,9 +15,10 @@ TEXTS = [
 
 
 
-@pytest.mark.parametrize("broadcast", [C.BROADCAST, 0])
-def test_scrub_reused_equals_scrub(spark, monkeypatch, broadcast):
-    """broadcast=0: lines and texts meet their hits in salted joins."""
+@pytest.mark.parametrize("in_plan, broadcast", [(C.IN_PLAN, C.BROADCAST), (0, C.BROADCAST), (0, 0)])
+def test_scrub_reused_equals_scrub(spark, monkeypatch, in_plan, broadcast):
+    """in_plan=0: texts look their lines up; broadcast=0: in salted joins."""
+    monkeypatch.setattr(C, "IN_PLAN", in_plan)
     monkeypatch.setattr(C, "BROADCAST", broadcast)
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "id long, content string, line string").repartition(3)
     want = {r.id: r.scrub for r in C.scrub(df, "content").collect()}
