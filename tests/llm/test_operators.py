@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from palisade.llm import decontaminate, html_text, jaccard_join, labels, license_scan, media, mixing, pii, quality, registry, scratch, token_ids, toxicity
-from palisade.llm.words import words
+from palisade.llm.words import grams, words
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, coverage string, n_copies string, row string, spans string, score string"
@@ -455,6 +456,45 @@ def test_html_hostile_nesting_is_linear():
     assert took(40_000) < 12 * took(10_000) + 0.5
 
 
+def brute_matches(doc, item, k):
+    out = set()
+    for p in range(len(doc)):
+        for q in range(len(item)):
+            n = 0
+            while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n]:
+                n += 1
+            if n >= k and not (p and q and doc[p - 1] == item[q - 1]):
+                out.add((p, q, n))
+    return out
+
+
+def test_matches_and_tiles_equal_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(600):
+        kinds, k = int(rng.integers(1, 5)), int(rng.integers(1, 6))
+        doc = rng.integers(0, kinds, int(rng.integers(0, 30))).astype(np.uint64)
+        item = rng.integers(0, kinds + int(rng.integers(0, 2)), int(rng.integers(0, 25))).astype(np.uint64)
+        runs = decontaminate.matches(doc, item, k)
+        assert sorted(map(tuple, runs.tolist())) == sorted(brute_matches(doc, item, k))
+        tiles = decontaminate.tile(runs, k)
+        assert sum(t[2] for t in tiles) == brute_tiles(doc.tolist(), item.tolist(), k)
+        for side in (0, 1):
+            used = [x for t in tiles for x in range(t[side], t[side] + t[2])]
+            assert len(used) == len(set(used))
+
+
+def test_decontamination_of_repeats_in_both_texts_takes_little_memory():
+    for doc, item in (("word " * 20000, "word " * 4000), ("a b c d e f g h i j " * 2000, "a b c d e f g h i j " * 400)):
+        seeds = decontaminate.Seeds([7], [item], 5)
+        w = words(pa.array([doc], pa.large_string()))
+        g = grams(w.hashes, 5)
+        tracemalloc.start()
+        found = decontaminate._covered(w, g, seeds, 0.5)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == {0: [(7, 1.0)]} and most < 64 << 20
+
+
 def test_decontamination(spark, docs, empty):
     rng = np.random.default_rng(3)
     items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 30, 24))) for i in range(6)] + [(90, None), (91, ""), (92, "too short")]
