@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,8 @@ _KEY = "spark.checkpoint.dir"
 #: Spark deals rows to Arrow by number only unless this is set; long texts would make large batches.
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _made: list[tuple[SparkSession, str, str]] = []
-_owner = ""
+#: Who keeps tables now; without an owner they stay until the folder is cleared.
+_owner: ContextVar[str] = ContextVar("owner", default="")
 _local: dict[str, str] = {}
 
 
@@ -47,7 +49,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path, _owner))
+    _made.append((spark, path, _owner.get()))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,21 +61,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def owned(owner: str):
-    """Tables kept inside belong to this owner; those that it kept before are deleted at the start.
-
-    Use it where the results made from the owner's earlier tables are stored by then.
-    """
-    global _owner
-    release(owner)
-    before, _owner = _owner, owner
+    """Tables kept inside belong to this owner until :func:`release`; owners may nest and stand in several threads."""
+    token = _owner.set(owner)
     try:
         yield
     finally:
-        _owner = before
+        _owner.reset(token)
 
 
 def release(owner: str) -> None:
-    """Delete the tables that an owner kept so far."""
+    """Delete the tables that an owner kept so far; those of other owners stay."""
     for entry in [x for x in _made if x[2] == owner]:
         _made.remove(entry)
         spark, path, _ = entry

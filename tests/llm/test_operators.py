@@ -772,3 +772,15 @@ def test_pipeline(spark):
 
 def test_queries_are_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES} == set(range(1, 11))
+
+
+def test_runs_of_the_pipeline_leave_each_others_tables(spark):
+    before = corpus_pipeline.drop_near_copies(spark, scratch.table(spark, SF, "documents"), SF)
+    rows = before.count()
+    with scratch.owned("another"):
+        mine = scratch.keep(spark.range(5), "mine")
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert before.count() == rows and mine.count() == 5
+    left = [x for x in scratch._made if x[2] == "another"]
+    scratch.release("another")
+    assert len(left) == 1 and not [x for x in scratch._made if x[2] == "another"]
