@@ -217,6 +217,15 @@ def _ruled(src: str) -> str:
 RULED = _ruled(PLANTED)
 
 
+def _signed(src: str) -> str:
+    """The rules of (doc_id, content) with the texts of the four heaviest ones."""
+    fired = lambda i, n, w, text, p: (
+        f"CASE WHEN {'exfil IS NOT NULL' if w is None else _SPECIAL[n] if p is None else _hit(p)} THEN {{'w': -{'exfil' if w is None else f'CAST({w} AS DOUBLE)'}, 'i': {i}, 'd': '{text.replace(chr(39), chr(39) * 2)}'}} END"
+    )
+    every = ", ".join(fired(i, *r) for i, r in enumerate(L.RULES))
+    return f"SELECT *, list_transform(list_sort(list_filter([{every}], lambda x: x IS NOT NULL))[1:4], lambda x: x.d) AS signals FROM ({_ruled(src)}) u0"
+
+
 @_add(f"SELECT doc_id, round(rule, 6) AS rule_score FROM ({RULED}) u")
 def q_rule_score(spark, d):
     df = R.with_rules(viewed(spark, d), "content", "v", "hits", anchored=True)
@@ -445,8 +454,25 @@ _CALLED = f"SELECT b * {len(DESTS)} + d AS doc_id, 'to=' || dest || ' body=' ||
 _nudge = lambda rule, untrusted: f"CASE WHEN {untrusted} AND {rule} >= 0.3 AND {rule} < 0.85 THEN least(CAST(1 AS DOUBLE), {rule} + CAST(0.05 AS DOUBLE)) ELSE {rule} END"
 
 
-def _sql_steps(enforce: bool) -> str:
-    """What the fold reads of every request that can be judged."""
+def _sql_held(tier: str) -> str:
+    """Why a tier does not run a call that it does not run."""
+    egress, files, secrets, allow = L.TIER_CAPS[tier]
+    named = lambda text, host: f"'{text} ''' || {host} || ''''"
+    unlisted = "list_filter(ext, lambda h: h NOT IN (" + ", ".join(repr(a) for a in allow or [""]) + "))"
+    if egress == "none":
+        sent = f"'tier ''{tier}'' lets nothing out'"
+    else:
+        sent = f"""CASE WHEN len(bad) > 0 THEN {named("host on the block list:", "bad[1]")} WHEN secret AND len(ext) > 0 THEN {named("a secret is addressed to", "ext[1]")}
+          WHEN len({unlisted}) > 0 THEN {named("host is not on the tier''s list:", unlisted + "[1]")} ELSE 'a secret may not be sent, even inside' END"""
+    refused = [
+        *([f"WHEN is_secret THEN 'tier refuses: tier ''{tier}'' may not read secrets'"] if secrets == "none" else []),
+        *([f"WHEN is_write THEN 'tier refuses: tier ''{tier}'' may not write files'"] if files in ("none", "ro") else []),
+    ]
+    return f"CASE {' '.join(refused)} WHEN is_egress THEN 'held back: ' || {sent} ELSE 'held back: ' || {named('a secret would leave to', 'ext_text[1]')} END"
+
+
+def _sql_steps(enforce: bool, limit: int = Config().max_content_length) -> str:
+    """What the fold reads of every request that can be judged, and what is noted of its texts."""
     tier = lambda f: "[" + ", ".join(f(t) for t in L.TIERS) + "]"
     ok = tier(lambda t: f"NOT {_sql_refused(t)} AND {_sql_decision(t)[0]}" if enforce else "true")
     attempt = tier(lambda t: f"NOT {_sql_refused(t)} AND {_sql_decision(t)[1]}" if enforce else _sql_decision(t)[1])
@@ -456,16 +482,23 @@ def _sql_steps(enforce: bool) -> str:
       {_US} / CAST(1000000 AS DOUBLE) AS ts, CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'web' END AS source,
       CAST(CASE WHEN event_id % 5 = 0 THEN (event_id // 5) % {len(PLANTS)} ELSE {len(PLANTS)} END AS BIGINT) AS text_no, CAST(((event_id // {len(DESTS)}) % {len(BODIES)}) * {len(DESTS)} + event_id % {len(DESTS)} AS BIGINT) AS call_no,
       is_egress AND (secret OR len(ext) > 0) AS risky, CASE WHEN sens IN ('high', 'critical') AND NOT is_egress AND NOT is_write THEN least({_BASE}, 1) ELSE {_BASE} END AS base_rank, tool IN ({_READS}) AS is_read,
-      {ok} AS ok, {attempt} AS attempt, {leaked} AS leaked FROM ({OUTBOUND}) o WHERE event_id % 101 <> 0"""
-    return f"""SELECT p.*, printf('e%09d', event_id) AS request_id, greatest({_nudge("t.rule", web)}, CASE WHEN tool IS NULL THEN CAST(0 AS DOUBLE) ELSE {_nudge("c.rule", "true")} END) AS inj,
-      {_nudge("l.rule", web)} < 0.8 AND l.rule < 0.3 AS clean, l.content AS left_text
-      FROM ({picked}) p JOIN ({_ruled(_TEXTS)}) t ON t.doc_id = text_no JOIN ({_ruled(_LEFT)}) l ON l.doc_id = text_no JOIN ({_ruled(_CALLED)}) c ON c.doc_id = call_no"""
+      {ok} AS ok, {attempt} AS attempt, {leaked} AS leaked, {tier(_sql_held)} AS held FROM ({OUTBOUND}) o WHERE event_id % 101 <> 0"""
+    read = f"""SELECT p.*, printf('e%09d', event_id) AS request_id, l.content AS left_text, {_nudge("l.rule", web)} < 0.8 AND l.rule < 0.3 AS clean, length(t.content) > {limit} OR (tool IS NOT NULL AND length(c.content) > {limit}) AS oversize,
+      CASE WHEN length(t.content) > {limit} THEN CAST(0 AS DOUBLE) ELSE {_nudge("t.rule", web)} END AS in_text, CASE WHEN tool IS NULL OR length(t.content) > {limit} OR length(c.content) > {limit} THEN CAST(0 AS DOUBLE) ELSE {_nudge("c.rule", "true")} END AS in_call,
+      t.signals AS text_signals, c.signals AS call_signals
+      FROM ({picked}) p JOIN ({_signed(_TEXTS)}) t ON t.doc_id = text_no JOIN ({_ruled(_LEFT)}) l ON l.doc_id = text_no JOIN ({_signed(_CALLED)}) c ON c.doc_id = call_no"""
+    return f"SELECT *, greatest(in_text, in_call) AS inj FROM ({read}) s1"
+
 
+_NOTES = """list_filter([CASE WHEN in_call > in_text OR in_call >= 0.3 THEN 'injection signal in tool arguments (' || CAST(CAST(round(in_call, 2) AS DECIMAL(4, 2)) AS VARCHAR) || ')' END,
+    CASE WHEN inj >= 0.3 THEN 'signals: ' || array_to_string(CASE WHEN in_call > in_text THEN call_signals ELSE text_signals END, ', ') END], lambda x: x IS NOT NULL)"""
 
-def _sql_decided(enforce: bool = True) -> str:
+
+def _sql_decided(enforce: bool = True, limit: int = Config().max_content_length, reasons: bool = False) -> str:
+    said, refused = (f", array_to_string(list_concat({_NOTES}, why), ' | ') AS reasons", ", 'role must not be blank'") if reasons else ("", "")
     return f"""SELECT request_id, CAST(agent AS VARCHAR) AS agent_id, role, source, tool, verdict, allowed_ AS allowed, ran AS executed, {_list(L.TIERS)}[tier_rank + 1] AS tier, round(inj, 4) AS injection_score, round(anomaly, 4) AS anomaly_score,
-      tried AS exfiltration_attempt, tried AND NOT leak AS exfiltration_blocked, leak AS exfiltrated, would_block, CAST(NULL AS VARCHAR) AS error, CASE WHEN scrubbed THEN left_text END AS sanitized_content FROM ({fold_sql(_sql_steps(enforce), enforce)}) d
-      UNION ALL SELECT printf('e%09d', event_id), CAST(user_id % {AGENTS} AS VARCHAR), NULL, CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'web' END, CASE WHEN event_id % 97 <> 0 THEN tool END, 'block', false, false, NULL, 0, 0, false, false, false, true, 'role must not be blank', NULL
+      tried AS exfiltration_attempt, tried AND NOT leak AS exfiltration_blocked, leak AS exfiltrated, would_block, CAST(NULL AS VARCHAR) AS error, CASE WHEN scrubbed THEN left_text END AS sanitized_content{said} FROM ({fold_sql(_sql_steps(enforce, limit), enforce)}) d
+      UNION ALL SELECT printf('e%09d', event_id), CAST(user_id % {AGENTS} AS VARCHAR), NULL, CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'web' END, CASE WHEN event_id % 97 <> 0 THEN tool END, 'block', false, false, NULL, 0, 0, false, false, false, true, 'role must not be blank', NULL{refused}
       FROM ({CALLS}) r WHERE event_id % 101 = 0"""
 
 
@@ -479,6 +512,22 @@ def q_monitor_only(spark, d):
     return guard.decide(stream(spark, d), enforce=False).drop("reasons")
 
 
+@_add(_sql_decided(reasons=True))
+def q_reasons(spark, d):
+    """Decisions with all their reasons and signals."""
+    return guard.decide(stream(spark, d)).withColumn("reasons", F.array_join("reasons", " | "))
+
+
+#: A limit that the longer plants and calls pass.
+SHORT = 60
+
+
+@_add(_sql_decided(False, SHORT, True))
+def q_oversize(spark, d):
+    """A guard that only watches, with a limit of 60 signs: oversize inputs are blocked all the same."""
+    return guard.decide(stream(spark, d), Config(max_content_length=SHORT), enforce=False).withColumn("reasons", F.array_join("reasons", " | "))
+
+
 _SEVERITY = "CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN verdict IN ('block', 'quarantine') OR exfiltration_attempt THEN 'WARNING' ELSE 'INFO' END"
 
 
