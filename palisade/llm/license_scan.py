@@ -12,10 +12,12 @@ of fixed size).  These places join the templates' positions; votes are counted b
 template and diagonal (place less template position); neighbouring diagonals of a notice, whose
 words were inserted or left out, are merged (a group that stray k-grams stretch far beyond the notice
 is split again, into every diagonal with its neighbours); spans are then verified on the words
-themselves, and of notices that overlap the one with the greatest share of votes, then the most votes, counts.  Base
-phrases take one diagonal with all its votes and word-for-word equality.
+themselves, and of notices that overlap the nearest one counts: the one with the most votes, each
+k-gram of the template counted once at most, then with the greatest share.  Base phrases take one
+diagonal with all its votes and word-for-word equality.
 
-The templates are constants of this module (a few hundred k-grams), so the broadcast is bounded.
+The templates are constants of this module or a parameter of at most ``MOST_WORDS`` words, so the
+broadcast is bounded.
 Only rows with a hit carry their words to the second phase, and nothing is shuffled but votes.
 
 Edge cases: null and empty texts have no words; texts shorter than a phrase have no place; every
@@ -33,6 +35,9 @@ from . import scratch
 #: and of distinct words of a notice, longest span against the notice's length.
 K, SLACK, VOTES, WORDS, STRETCH = 3, 3, 0.6, 0.8, 1.6
 
+#: Words that all templates may have together.
+MOST_WORDS = 100_000
+
 # Base phrases and their labels; notices and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = {
@@ -46,12 +51,38 @@ NOTICES = {
     "licensed under the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "released under the bsd license": "bsd",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
     "licensed under a creative commons attribution 4 0 international license": "cc-by",
+    "licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa",
+    "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd",
+    "licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd",
+    "waived all copyright and related or neighboring rights to this work": "cc0",
+    "spdx license identifier mit": "mit",
+    "spdx license identifier apache 2 0": "apache-2",
+    "spdx license identifier bsd 3 clause": "bsd",
+    "spdx license identifier bsd 2 clause": "bsd",
+    "spdx license identifier isc": "isc",
+    "spdx license identifier mpl 2 0": "mpl-2",
+    "spdx license identifier gpl 2 0": "gpl-2",
+    "spdx license identifier gpl 3 0": "gpl-3",
+    "spdx license identifier lgpl 2 1": "lgpl",
+    "spdx license identifier lgpl 3 0": "lgpl",
+    "spdx license identifier agpl 3 0": "agpl",
+    "spdx license identifier bsl 1 0": "bsl-1",
+    "spdx license identifier cc by 4 0": "cc-by",
+    "spdx license identifier cc by sa 4 0": "cc-by-sa",
+    "spdx license identifier cc0 1 0": "cc0",
 }
 #: What is not in a word.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,16 +103,19 @@ def _grams(words: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), hashed)).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
-def templates(spark) -> DataFrame:
+def templates(spark, notices: dict[str, str]) -> DataFrame:
     """(tid, label, base, twords): all phrases and notices."""
-    rows = [(i, label, base, text.split()) for i, (text, label, base) in enumerate([*((t, x, True) for t, x in PHRASES.items()), *((t, x, False) for t, x in NOTICES.items())])]
+    every = [*((t, x, True) for t, x in PHRASES.items()), *((t, x, False) for t, x in notices.items())]
+    rows = [(i, label, base, text.split()) for i, (text, label, base) in enumerate(every)]
+    if any(len(words) < K for *_, words in rows) or sum(len(words) for *_, words in rows) > MOST_WORDS:
+        raise ValueError(f"a template needs {K} words, all templates may have {MOST_WORDS}")
     return spark.createDataFrame(rows, "tid int, label string, base boolean, twords array<string>")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """See the module's docstring."""
+def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
+    """See the module's docstring.  notices: words in lower case with one blank between, and their labels."""
     spark = docs.sparkSession
-    known = templates(spark)
+    known = templates(spark, NOTICES if notices is None else notices)
     positions = known.select("tid", F.explode(_grams(F.col("twords"))).alias("g")).select("tid", F.col("g.h").alias("h"), F.col("g.pos").alias("tpos"))
     wanted = [r.h for r in positions.select("h").distinct().orderBy("h").collect()]
 
@@ -109,7 +143,9 @@ def scan(docs: DataFrame) -> DataFrame:
     split = near.join(merged.where(long).select(*own), own)
     split = split.select(*own, "label", "base", "twords", "n", F.sum("votes").over(beside).alias("votes"), F.min("lo").over(beside).alias("lo"), (F.max("hi").over(beside) + K - 1).alias("hi"))
     split = split.withColumn("share", F.least(F.lit(1.0), F.col("votes") / (F.col("n") - (K - 1)))).where((F.col("share") >= VOTES) & ~long)
-    spans = spans.unionByName(merged.where(~long).select(*spans.columns)).unionByName(split.select(*spans.columns).distinct())
+    once = F.least("votes", F.col("n") - (K - 1)).cast("long")
+    merged, split = merged.where(~long).withColumn("votes", once), split.withColumn("votes", once)
+    spans = spans.unionByName(merged.select(*spans.columns)).unionByName(split.select(*spans.columns).distinct())
 
     held = rows.where("words is not null").select("row", "words")
     seen = F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)
@@ -120,7 +156,7 @@ def scan(docs: DataFrame) -> DataFrame:
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rival = good.where(~F.col("base")).withColumn("new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int"))
     rival = rival.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = rival.groupBy("row", "group").agg(F.max(F.struct("share", "votes", "label", "lo")).alias("x"))
+    best = rival.groupBy("row", "group").agg(F.max(F.struct("votes", "share", "label", "lo")).alias("x"))
     good = good.where("base").select("row", "label", "base", "lo", "share").unionByName(best.select("row", "x.label", F.lit(False).alias("base"), "x.lo", "x.share"))
     own = F.when(F.col("base"), F.col("lo")).cast("long")
     found = good.groupBy("row").agg(

@@ -784,3 +784,32 @@ def test_runs_of_the_pipeline_leave_each_others_tables(spark):
     left = [x for x in scratch._made if x[2] == "another"]
     scratch.release("another")
     assert len(left) == 1 and not [x for x in scratch._made if x[2] == "another"]
+
+
+def test_license_scan_takes_the_nearest_notice(spark):
+    cases = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "It is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "It is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "It is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "It is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "cc-by-nd",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "// SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+        "// SPDX-License-Identifier: LGPL-2.1": "lgpl",
+        "# SPDX-License-Identifier: something else": "",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1",
+    }
+    gnu = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{2}."
+    for what, kind, version, label in (
+        ("program", "", ", either version 3 of the License, or (at your option) any later version", "gpl-3"), ("program", "", "; either version 2 of the License, or (at your option) any later version", "gpl-2"),
+        ("program", "", "", "gpl"), ("library", "Lesser ", "", "lgpl"), ("program", "Affero ", "", "agpl"),
+    ):
+        cases[gnu.format(what, kind, version)] = label
+    rows = [(i, f"{prose(40)} {t} {prose(40)}") for i, t in enumerate(cases)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(cases.values()))
+    own = license_scan.scan(spark.createDataFrame([(1, "Only friends of the harbour may use it; under the MIT license")], "doc_id long, text string"), {"only friends of the harbour may use it": "own"}).first()
+    assert (own.labels, own.base_labels) == ("mit,own", "mit")
+    with pytest.raises(ValueError):
+        license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"two words": "x"})
